@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import spool
 from ..sources.tables import once, table
 from . import quantiles as Q
 
@@ -28,7 +29,7 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     null figure differs from nothing. Runs without claims are not listed.
     """
     keys = ["run_id", "system_name"]
-    words = words_per_claim(spark, d)
+    words = spool(words_per_claim(spark, d), "words")
     q = Q.percentiles(Q.sketches(words, keys, "words"), keys, {"p50": 0.5, "p90": 0.9})
     arms = table(spark, d, "arm_granularity").select(*keys, "median_words_per_claim", "p90_words_per_claim")
     both = arms.join(q, keys)
@@ -41,7 +42,7 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 
     state = F.greatest(off("median_words_per_claim", "p50"), off("p90_words_per_claim", "p90"))
     # greatest of the two is 1 only if neither is sure and one is open
-    both = both.withColumn("state", state)
+    both = spool(both.withColumn("state", state), "bounds")
     sure = both.where("state = 2").select(*keys)
     open_ = both.where("state = 1").select(*keys, "median_words_per_claim", "p90_words_per_claim")
     exact = (

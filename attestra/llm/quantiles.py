@@ -152,7 +152,7 @@ def sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> Data
     keys = list(keys)
     src = df.select(*keys, F.col(value).cast("double").alias("__v"))
     src = src.where(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") < F.lit(float("inf"))))
-    names = keys + ["__part"] + [f.name for f in SKETCH]
+    names = keys + ["part_no"] + [f.name for f in SKETCH]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[tuple, Buffers] = {}
@@ -180,9 +180,9 @@ def sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> Data
         if state:
             yield out()
 
-    parts = src.mapInPandas(fold, _schema(src, keys, T.StructField("__part", T.IntegerType())))
-    parts = parts.withColumn("__part", (F.spark_partition_id() + F.col("__part") * 7919) % FAN_IN)
-    return merge_sketches(merge_sketches(parts, [*keys, "__part"], k), keys, k)
+    parts = src.mapInPandas(fold, _schema(src, keys, T.StructField("part_no", T.IntegerType())))
+    parts = parts.withColumn("part_no", (F.spark_partition_id() + F.col("part_no") * 7919) % FAN_IN)
+    return merge_sketches(merge_sketches(parts, [*keys, "part_no"], k), keys, k)
 
 
 def merge_sketches(df: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
@@ -190,13 +190,26 @@ def merge_sketches(df: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
     keys = list(keys)
     fields = [f.name for f in SKETCH]
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Buffers(k)
-        for row in pdf.sort_values(["n", "vmin", "vmax"], kind="stable").itertuples(index=False):
-            b.merge(row)
-        return pd.DataFrame([(*pdf[keys].iloc[0], *b.row())], columns=keys + fields)
-
-    return df.select(*keys, *fields).groupBy(*keys).applyInPandas(join, _schema(df, keys))
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by group: one group is open at a time, whatever the number of groups
+        group, b, done = None, None, []
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                g = tuple(None if x is None or x is pd.NaT or x != x else x for x in (getattr(r, c) for c in keys))
+                if b is None or g != group:
+                    if b is not None:
+                        done.append((*group, *b.row()))
+                    group, b = g, Buffers(k)
+                b.merge(r)
+            if len(done) >= 256:
+                yield pd.DataFrame(done, columns=keys + fields)
+                done = []
+        if b is not None:
+            done.append((*group, *b.row()))
+        yield pd.DataFrame(done, columns=keys + fields)
+
+    placed = df.select(*keys, *fields).repartition(*keys).sortWithinPartitions(*keys, "n", "vmin", "vmax")
+    return placed.mapInPandas(join, _schema(df, keys))
 
 
 def percentiles(sketched: DataFrame, keys: Sequence[str], named: dict[str, float]) -> DataFrame:
