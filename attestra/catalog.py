@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("operators.retrieval_metrics", "operators.claim_metrics")
+MODULES: tuple[str, ...] = ("operators.retrieval_metrics", "operators.claim_metrics", "operators.aggregates", "operators.agreement")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
