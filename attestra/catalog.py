@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("operators.retrieval_metrics", "operators.claim_metrics", "operators.aggregates", "operators.agreement")
+MODULES: tuple[str, ...] = ("operators.retrieval_metrics", "operators.claim_metrics", "operators.aggregates", "operators.agreement", "operators.text_units", "operators.search", "operators.citation_scores")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -17,4 +17,5 @@ for _name in MODULES:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    """The retrieval arms scored side by side."""
+    return QUERIES["rt11_arm_metrics"](spark, d)
