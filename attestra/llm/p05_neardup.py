@@ -179,15 +179,16 @@ def _divide(posts: DataFrame, sizes: DataFrame) -> DataFrame:
     fp = ["f0", "f1", "f2", "f3"]
     kept = ["rep", "n", *fp]
     cold = posts.join(sizes.where(F.col("size") <= HOT).select("key"), "key").select(F.xxhash64("key").alias("shard"), *kept, F.lit(True).alias("stored"))
-    hot = spool(posts.join(F.broadcast(sizes.where(F.col("size") > HOT).select("key")), "key"), "hot")
+    hot = spool(posts.join(sizes.where(F.col("size") > HOT).select("key"), "key"), "hot")
     slot = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(VANTAGES)).cast("int")
     point = hot.groupBy("key", slot.alias("point")).agg(F.min_by(F.struct(*fp), F.xxhash64("rep", F.lit(11))).alias("p"))
     points = point.groupBy("key").agg(F.collect_list(F.struct("point", "p")).alias("points"))  # at most VANTAGES each
     far = hot.join(points, "key").select("key", *kept, F.transform("points", lambda x: F.struct(sum((F.bit_count(F.col(f).bitwiseXOR(x["p"][f])) for f in fp), F.lit(0)).alias("d"), x["point"].alias("point"))).alias("ds"))
     far = spool(far.withColumn("home", F.array_min("ds")), "far")
-    cover = far.groupBy("key", F.col("home.point").alias("point")).agg(F.max("home.d").alias("cover"))
-    ask = far.select("key", *kept, "home", F.explode("ds").alias("x")).join(cover.withColumnRenamed("point", "cp"), (F.col("x.point") == F.col("cp")) & (far["key"] == cover["key"]))
-    ask = ask.where(F.col("x.d") <= F.col("cover") + RADIUS).select(F.xxhash64(far["key"], F.col("cp")).alias("shard"), *kept, (F.col("home.point") == F.col("cp")).alias("stored"))
+    cover = far.groupBy("key", F.col("home.point").alias("point")).agg(F.max("home.d").alias("cover")).select(F.col("key").alias("ck"), F.col("point").alias("cp"), "cover")
+    ask = far.select("key", *kept, "home", F.explode("ds").alias("x")).select("key", *kept, F.col("home.point").alias("own"), F.col("x.d").alias("d"), F.col("x.point").alias("xp"))
+    ask = ask.join(cover, (F.col("key") == F.col("ck")) & (F.col("xp") == F.col("cp"))).where(F.col("d") <= F.col("cover") + RADIUS)
+    ask = ask.select(F.xxhash64("key", "cp").alias("shard"), *kept, (F.col("own") == F.col("cp")).alias("stored"))
     return cold.unionByName(ask)
 
 
