@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.durable import shared_dir
 from . import records as R
 from .tables import table
 
-RECORD = T.StructType.fromDDL(
+# Schemas as DDL, which needs no session.
+RECORD = (
     "record_id bigint, run_id string, query_id string, question string, system_name string, seed int, retrieved array<struct<passage_id:string,rank_no:int,score:double,retriever:string>>, "
     "gold_passage_ids array<string>, raw_generation string, final_decision string, gold_final_decision string, latency_s double, prompt_tokens bigint, completion_tokens bigint, schema_version string"
 )
-COST = T.StructType.fromDDL("run_id string, query_id string, component string, backend string, input_tokens bigint, output_tokens bigint, usd double, wall_s double")
+COST = ("run_id string, query_id string, component string, backend string, input_tokens bigint, output_tokens bigint, usd double, wall_s double")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -23,15 +25,20 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Read JSON Lines under a schema; only newlines end a record, blank lines are skipped, malformed lines fail."""
     return spark.read.schema(schema).option("lineSep", "\n").option("mode", "FAILFAST").json(path)
 
 
-def unknown_keys(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def names(schema: str) -> list[str]:
+    """The top-level names of a DDL schema."""
+    return re.findall(r"(\w+) [a-z]", re.sub(r"<[^<>]*(?:<[^<>]*>)*[^<>]*>", "", schema))
+
+
+def unknown_keys(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Keys of the lines that the schema does not know, with how many lines have them; a strict reader demands none."""
     raw = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
-    keys = F.explode(F.array_except(F.json_object_keys("value"), F.array(*[F.lit(n) for n in schema.names])))
+    keys = F.explode(F.array_except(F.json_object_keys("value"), F.array(*[F.lit(n) for n in names(schema)])))
     return raw.select(keys.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,11 +76,11 @@ def merge_scores(known: DataFrame, wanted: DataFrame, scorer, keys: tuple[str, .
 
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Records written as JSON Lines and read again: rows, and how many came back the same."""
-    r = R.records(spark, d, *[c for c in RECORD.names if c != "record_id"])
+    r = R.records(spark, d, *[c for c in names(RECORD) if c != "record_id"])
     path = f"{shared_dir(spark)}/attestra/records-{abs(hash(d)) % 10**8}"
     write_jsonl(r, path)
     back = read_records(spark, path)
-    h = lambda x: x.select("record_id", F.xxhash64(*[F.to_json(c) if c in ("retrieved", "gold_passage_ids") else F.col(c) for c in RECORD.names]).alias("h"))
+    h = lambda x: x.select("record_id", F.xxhash64(*[F.to_json(c) if c in ("retrieved", "gold_passage_ids") else F.col(c) for c in names(RECORD)]).alias("h"))
     a, b = h(r), h(back).withColumnRenamed("h", "g")
     return a.join(b, "record_id", "full").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("h").eqNullSafe(F.col("g"))).alias("same"))
 
@@ -82,7 +89,7 @@ def key_audit(spark: SparkSession, d: str) -> DataFrame:
     """Keys of the written records that a narrower schema would not know."""
     path = f"{shared_dir(spark)}/attestra/audit-{abs(hash(d)) % 10**8}"
     write_jsonl(R.records(spark, d, "run_id", "seed", "question"), path)
-    return unknown_keys(spark, path, T.StructType.fromDDL("record_id bigint, run_id string, seed int"))
+    return unknown_keys(spark, path, "record_id bigint, run_id string, seed int")
 
 
 def scan(spark: SparkSession, d: str) -> DataFrame:
