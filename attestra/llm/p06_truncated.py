@@ -32,6 +32,7 @@ LEAST_CHARS = 12
 AT_LIMIT = 5
 
 _MARKED = r"[.!?。！？।؟][\"'”’»」』)\]）]*$|[。！？।؟][\"”’»」』）]*$"
+_LETTERS = r"[\p{L}\p{M}]+(?:[-’][\p{L}\p{M}]+)*"
 _TOKEN = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]|[\p{L}\p{M}]+(?:[-’][\p{L}\p{M}]+)*|[0%)]"
 _PUT_AFTER = r"(?:\s|\.\.+|…|\[(?:…|\.\.\.|truncated|cut)\]|\((?:truncated|cut)\)|\x{FFFD}|[-–—])+$"
 
@@ -41,6 +42,11 @@ def _lit(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bare(x: str) -> str:
+    """``x`` without what was put after the text; only its last characters are searched."""
+    return f"concat(left({x}, greatest(length({x}) - 64, 0)), regexp_replace(right({x}, least(64, length({x}))), {_lit(_PUT_AFTER)}, ''))"
+
+
 def _tokens(x: str) -> str:
     return f"regexp_extract_all(regexp_replace(lower({x}), '[0-9]+(?:[.,][0-9]+)*', '0'), {_lit(_TOKEN)}, 0)"
 
@@ -53,17 +59,17 @@ _JSON_END = r"[\]\}]$"
 _FENCE = r"\s*```$"
 _CITE = r"^\s*CITE\b"
 _CITE_WHOLE = r"\|\|\s*\S"
-_CLAIM_BEFORE = r"(?s)CLAIM\s*\d+\s*:\s*\S.*\n"
+_CLAIM_BEFORE = r"CLAIM\s*\d+\s*:[^\n]*\S[^\n]*\n"
 _HEAD_ONLY = r"^\s*(?:C|CL|CLA|CLAI|CI|CIT|CLAIM\s*\d*\s*:?|\d+[.)])\s*$"
 _HEAD = r"^\s*(?:CLAIM\s*\d+\s*:|\d+[.)]|CITE\s*\d*\s*:.*?\|\|)\s*"
 
 _UNITS = f"""
 WITH replies AS (
   SELECT 'raw_generation' AS field_name, record_id AS row_id, backend, raw_generation AS whole,
-    regexp_replace(raw_generation, {_lit(_PUT_AFTER)}, '') AS t
+    {_bare('raw_generation')} AS t
   FROM $records WHERE raw_generation IS NOT NULL),
 claim_texts AS (
-  SELECT 'claim_text' AS field_name, claim_key AS row_id, backend, text AS whole, regexp_replace(text, {_lit(_PUT_AFTER)}, '') AS t
+  SELECT 'claim_text' AS field_name, claim_key AS row_id, backend, text AS whole, {_bare('text')} AS t
   FROM $claims LEFT JOIN (SELECT record_id, backend FROM $records) USING (record_id) WHERE text IS NOT NULL),
 both AS (SELECT * FROM replies UNION ALL SELECT * FROM claim_texts),
 lines AS (
@@ -71,15 +77,15 @@ lines AS (
     field_name = 'raw_generation' AND t RLIKE {_lit(_JSON)} AND length(t) > 4 AS is_json
   FROM both)
 SELECT field_name, row_id, backend, n_chars, n_bytes, is_json,
-  whole RLIKE {_lit(r"\x{FFFD}\s*$")} AS broken,
+  right(whole, 40) RLIKE {_lit(r"\x{FFFD}\s*$")} AS broken,
   line RLIKE {_lit(_CITE)} AS is_cite,
   CASE WHEN is_json THEN NOT regexp_replace(t, {_lit(_FENCE)}, '') RLIKE {_lit(_JSON_END)}
          OR length(replace(t, '{{', '')) <> length(replace(t, '}}', ''))
        WHEN field_name = 'claim_text' THEN false
        ELSE (line RLIKE {_lit(_CITE)} AND NOT line RLIKE {_lit(_CITE_WHOLE)})
-         OR (t RLIKE {_lit(_CLAIM_BEFORE)} AND line RLIKE {_lit(_HEAD_ONLY)}) END AS open_structure,
+         OR (line RLIKE {_lit(_HEAD_ONLY)} AND t RLIKE {_lit(_CLAIM_BEFORE)}) END AS open_structure,
   regexp_replace(line, {_lit(_HEAD)}, '') AS body,
-  whole RLIKE {_lit(r"(?:\.\.+|…)\s*$")} AS dotted
+  right(whole, 40) RLIKE {_lit(r"(?:\.\.+|…)\s*$")} AS dotted
 FROM lines
 """
 
@@ -97,22 +103,23 @@ FROM tri GROUP BY 1, 2, 3
 
 _WORDS = f"""
 WITH lines AS (SELECT explode(split(raw_generation, '\n')) AS line FROM $records WHERE raw_generation IS NOT NULL),
-toks AS (SELECT {_tokens("line")} AS w FROM lines WHERE length(line) > 2),
+toks AS (SELECT regexp_extract_all(lower(line), {_lit(_LETTERS)}, 0) AS w FROM lines WHERE length(line) > 2),
 words AS (SELECT explode(slice(w, 1, size(w) - 1)) AS word FROM toks WHERE size(w) > 1)
 SELECT word, count(*) AS word_n FROM words WHERE length(word) > 1 GROUP BY word HAVING count(*) >= {KNOWN}
 """
 
 
-def judged(spark: SparkSession, d: str) -> DataFrame:
+def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
     """(field_name, row_id, backend, truncated, evidence) of every value that isn't null, redelivered rows once.
 
     An empty, blank or very short value has no end to lack: it isn't truncated.
     Marks of omission put after a text are looked through; a text that ends with
-    a sentence mark is whole.
+    a sentence mark is whole. Without ``claim_texts`` only replies are judged;
+    the counts are over all claim texts either way.
     """
     records = once(table(spark, d, "query_records").select("record_id", "backend", "raw_generation"), "record_id")
     claims = once(table(spark, d, "claims").select("claim_key", "record_id", "text"), "claim_key")
-    units = query(spark, _UNITS, records=records, claims=claims)
+    units = query(spark, _UNITS, records=records, claims=claims if claim_texts else claims.where("false"))
     raw = spool(query(spark, _COUNTS, claims=claims), "trigrams")
     frequent = spool(query(spark, "WITH n AS (SELECT c, sum(inner_n + end_n) AS n FROM $raw GROUP BY c) SELECT c AS w FROM n WHERE n >= 5 AND n >= (SELECT sum(n) FROM n) * " + str(SHARE), raw=raw), "frequent")
     known = query(spark, _WORDS, records=records)
