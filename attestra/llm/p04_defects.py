@@ -9,15 +9,25 @@ posterior exceeds the cutoff are kept, so that one reply may have several.
 from __future__ import annotations
 
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import spool
 from ..sources.tables import once, table
 from . import labelmodel, p06_truncated
 
 #: Rows that the starting accuracies count as in the label model.
 STRENGTH = 300.0
+#: Characters of statements from which a reply is no mere refusal or repetition of a short question.
+LONG = 1500
+#: Characters of statements from which a reply that says a declining phrase says more than that.
+DECLINE = 600
 #: The order in which kinds with equal posteriors win, where one label is wanted.
 KINDS = ("empty", "copied_question", "refusal", "wrong_language", "truncated")
 #: Posterior from which a kind is kept, chosen by precision on hand-checked replies.
@@ -61,63 +71,78 @@ _BLANKS = ("", "null", "na", "none", "nil", "answer", "answeranswer", "noanswer"
 
 def body(raw: Column) -> Column:
     """The reply's own statements: claim texts of JSON replies, else its lines without decisions, quoted evidence and numbering."""
-    texts = F.regexp_extract_all(raw, F.lit(r'"(?:text|claim|answer|statement)"\s*:\s*"((?:[^"\\]|\\.)*)'), F.lit(1))
-    is_json = raw.rlike(r'^\s*(?:```\w*\s*)?[\{\[]')
+    texts = F.array_join(F.regexp_extract_all(raw, F.lit(r'"(?:text|claim|answer|statement)"\s*:\s*"((?:[^"\\]|\\.)*)'), F.lit(1)), "\n")
     bare = F.regexp_replace(raw, r'"\w+"\s*:|\b(?:null|yes|no|maybe|true|false)\b|[{}\[\]",`]', "")
-    lines = F.regexp_replace(raw, r"(?m)^\s*(?:CITE\b.*|DECISION\s*:?\s*\w*\s*|```\w*\s*)$", "")
-    lines = F.regexp_replace(lines, r"(?m)^\s*(?:CLAIM\s*\d*\s*:|\d+[.)]|[-*]\s)\s*", "")
-    return F.when(is_json, F.when(F.size(texts) > 0, F.array_join(texts, "\n")).otherwise(bare)).otherwise(lines)
+    lines = F.regexp_replace(raw, r"(?m)^[ \t]*(?:CITE\b.*|DECISION[ \t]*:?[ \t]*\w*[ \t]*$|```\w*|(?:CLAIM[ \t]*\d*[ \t]*:|\d+[.)]|[-*][ \t])[ \t]*)", "")
+    return F.when(raw.rlike(r"^\s*(?:```\w*\s*)?[\{\[]"), F.coalesce(F.nullif(texts, F.lit("")), bare)).otherwise(lines)
 
 
 def _norm(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\p{M}]+", "")
 
 
-def _language(c: Column, prefix: str) -> dict[str, Column]:
-    """Scores of the languages in a text; scripts of their own score by characters."""
-    low = F.lower(c)
-    word = lambda v: F.regexp_count(low, F.lit(r"(?<![\p{L}\p{M}])(?:" + "|".join(v.split()) + r")(?![\p{L}\p{M}])"))
-    out = {f"{prefix}_{k}": word(v) for k, v in WORDS.items()}
-    out |= {f"{prefix}s_{k}": word(v) for k, v in SHARED.items()}
-    kana = F.regexp_count(c, F.lit(r"[぀-ヿ]"))
-    han = F.regexp_count(c, F.lit(r"[一-鿿]"))
-    out[f"{prefix}_ja"] = F.when(kana >= 2, kana + han).otherwise(0)
-    out[f"{prefix}_zh"] = F.when(kana < 2, han).otherwise(0)
-    for k, chars in (("ar", "[؀-ۿ]"), ("th", "[฀-๿]"), ("hi", "[ऀ-ॿ]")):
-        out[f"{prefix}_{k}"] = (F.regexp_count(c, F.lit(chars)) / 4).cast("int")
+LANGS = (*WORDS, "ja", "zh", "ar", "th", "hi")
+_OWN = {k: frozenset(v.split()) for k, v in WORDS.items()}
+_ALSO = {k: frozenset(v.split()) for k, v in SHARED.items()}
+_WORD = re.compile(r"[^\W\d_]+")
+_SCRIPTS = (("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[一-鿿]")), ("ar", re.compile(r"[؀-ۿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")))
+
+
+def language_scores(text: str) -> dict[str, tuple[float, float]]:
+    """Per language (words of its own, all its words) in a text; scripts of their own score by characters."""
+    out = dict.fromkeys(LANGS, (0.0, 0.0))
+    words = Counter(_WORD.findall(text.lower()))
+    for k, own in _OWN.items():
+        n = sum(words[w] for w in own)
+        out[k] = (n, 2 * n + sum(words[w] for w in _ALSO.get(k, ())))
+    if not text.isascii():
+        seen = {k: len(p.findall(text)) for k, p in _SCRIPTS}
+        if seen["ja"] >= 2:
+            seen["ja"], seen["zh"] = seen["ja"] + seen["zh"], 0
+        else:
+            seen["ja"] = 0
+        for k, n in seen.items():
+            n = n if k in ("ja", "zh") else n // 4
+            out[k] = (n, 2 * n)
     return out
 
 
-LANGS = (*WORDS, "ja", "zh", "ar", "th", "hi")
+def compare_languages(df: DataFrame) -> DataFrame:
+    """(record_id, ql, bl, top, own): languages of question and statements; most words of any language, and of the question's, in the statements."""
+
+    def best(scores: dict) -> str | None:
+        k = max(scores, key=lambda x: scores[x][1])
+        return k if scores[k][1] else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, q, b in zip(pdf["record_id"], pdf["q"], pdf["b"]):
+                said = language_scores(b)
+                ql = best(language_scores(q))
+                rows.append((i, ql, best(said), max(x for x, _ in said.values()), said[ql][0] if ql else 0.0))
+            yield pd.DataFrame(rows, columns=["record_id", "ql", "bl", "top", "own"]).astype({"top": float, "own": float})
+
+    return df.select("record_id", "q", "b").mapInPandas(run, "record_id bigint, ql string, bl string, top double, own double")
+
+
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
     """(record_id, one 0/1 column per labelling function) of every record, redelivered rows once."""
     rec = once(table(spark, d, "query_records").select("record_id", "question", "raw_generation"), "record_id")
     err = table(spark, d, "decompositions").groupBy("record_id").agg(F.array_join(F.flatten(F.collect_set("errors")), "\n").alias("err"))
-    cut = p06_truncated.judged(spark, d).where("field_name = 'raw_generation' and truncated").select(F.col("row_id").alias("record_id"), F.lit(1).alias("cut"))
+    cut = p06_truncated.judged(spark, d, claim_texts=False).where("truncated").select(F.col("row_id").alias("record_id"), F.lit(1).alias("cut"))
     raw = F.coalesce("raw_generation", F.lit(""))
     x = rec.join(err, "record_id", "left").join(cut, "record_id", "left")
     x = x.select("record_id", F.coalesce("question", F.lit("")).alias("q"), raw.alias("raw"), F.coalesce("err", F.lit("")).alias("err"), F.coalesce("cut", F.lit(0)).alias("cut"), body(raw).alias("b"))
-    x = x.withColumns({"nb": _norm(F.regexp_replace(F.col("b"), _LEAD, "")), "nq": _norm(F.col("q")), "lb": F.lower(F.col("b"))})
-    x = x.withColumns(_language(F.substring(F.col("q"), 1, 1_000_000), "q") | _language(F.col("b"), "b"))
-
-    def best(p: str) -> Column:
-        """The language with most words, its own counting twice."""
-        score = {k: F.col(f"{p}_{k}") * 2 + (F.col(f"{p}s_{k}") if k in SHARED else F.lit(0)) for k in LANGS}
-        top = F.greatest(*score.values())
-        chain = F.lit(None).cast("string")
-        for k in reversed(LANGS):
-            chain = F.when((score[k] == top) & (top > 0), k).otherwise(chain)
-        return chain
-
-    x = x.withColumns({"ql": best("q"), "bl": best("b"), "top": F.greatest(*[F.col(f"b_{k}") for k in LANGS])})
-    own = F.lit(0)
-    for k in LANGS:
-        own = F.when(F.col("ql") == k, F.col(f"b_{k}")).otherwise(own)
-    x = x.withColumn("own", own)
+    x = x.withColumns({"nb": F.when(F.char_length("b") < LONG, _norm(F.regexp_replace(F.col("b"), _LEAD, ""))).otherwise(F.col("b")), "nq": _norm(F.col("q")), "lb": F.when(F.char_length("b") < DECLINE, F.lower(F.col("b")))})
+    x = spool(x, "statements")
+    x = x.join(compare_languages(x), "record_id")
     size, asked = F.char_length("nb"), F.char_length("nq")
-    words_b, words_q = (F.array_distinct(F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")) for c in ("b", "q"))
+    # a whole reply that declines, or gives the question back, isn't long; longer ones are spared the patterns
+    brief = F.char_length("b") < 3 * F.char_length("q") + LONG
+    words_b, words_q = (F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")) for c in (F.when(brief, F.col("b")).otherwise(F.lit("")), F.col("q")))
     shared = F.size(F.array_intersect(words_b, words_q))
     no_figures = ~F.col("b").rlike(r"\d")
     declines = F.col("lb").rlike("(?is)" + "|".join(f"(?:{p})" for p in DECLINES))
@@ -128,13 +153,13 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
         "empty_errors": F.col("err").rlike("nothing to decompose|no claim line|body missing"),
         "truncated_end": F.col("cut") == 1,
         "truncated_errors": F.col("err").rlike("ends without text|unterminated|body missing"),
-        "truncated_open": ~F.col("raw").rlike(r"[.!?。！？।؟\]\}][\"'”’»)]*\s*$"),
+        "truncated_open": ~F.right(F.col("raw"), F.lit(40)).rlike(r"[.!?。！？।؟\]\}][\"'”’»)]*\s*$"),
         "refusal_phrase": declines,
         "refusal_short": (size > 3) & (size < 260) & no_figures,
         "refusal_bare": ~F.col("raw").rlike(r"CITE\s*\d*\s*:|passage_id"),
         "refusal_errors": F.col("err").rlike("no claim line|nothing to decompose"),
-        "copied_text": (asked > 10) & (size > 5) & F.contains(F.col("nb"), F.col("nq")) & (F.char_length(F.replace(F.col("nb"), F.col("nq"), F.lit(""))) <= 30),
-        "copied_words": (F.size(words_q) > 1) & (shared >= 0.85 * F.size(words_q)) & (F.size(words_b) <= F.size(words_q) * 1.25 + 2),
+        "copied_text": brief & (asked > 10) & (size > 5) & F.contains(F.col("nb"), F.col("nq")) & (F.char_length(F.replace(F.col("nb"), F.col("nq"), F.lit(""))) <= 30),
+        "copied_words": brief & (F.size(words_q) > 1) & (shared >= 0.85 * F.size(words_q)) & (F.size(words_b) <= F.size(words_q) * 1.25 + 2),
         "copied_length": (size >= 0.8 * asked) & (size <= 1.4 * asked + 5),
         "language_best": known & (F.col("ql") != F.col("bl")),
         "language_margin": known & (F.col("ql") != F.col("bl")) & (F.col("top") >= 1) & (F.col("top") > 2.5 * F.col("own")),
@@ -169,8 +194,6 @@ def posteriors(v: DataFrame) -> DataFrame:
 
 
 def _posteriors(spark: SparkSession, d: str) -> DataFrame:
-    from ..plans.durable import spool
-
     return posteriors(spool(votes(spark, d), "votes"))
 
 
