@@ -162,12 +162,13 @@ def repaired_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unwrapped(spark: SparkSession, d: str) -> DataFrame:
-    """Replies that are one JSON string, decoded by one level."""
+    """Replies that open with a quote mark and are one JSON string, decoded by one level; every other reply as it is."""
     r = R.records(spark, d, "raw_generation").where("raw_generation is not null")
-    q = F.to_json(F.struct(F.substring("raw_generation", 1, 200).alias("a")))
-    wrapped = F.regexp_extract(q, r'^\{"a":(".*")\}$', 1)
-    back = F.try_variant_get(F.try_parse_json(wrapped), "$", "string")
-    return r.select("record_id", F.char_length(back).cast("bigint").alias("n_chars"))
+    raw = F.col("raw_generation")
+    # the parser reads the first value only, so that nothing may follow the closing quote mark
+    one = F.regexp_replace(raw, r"(?s)\\.", "").rlike(r'\A"[^"]*"[ \t\r\n]*\z')
+    back = F.when(F.startswith(raw, F.lit('"')) & one, F.try_variant_get(F.try_parse_json(raw), "$", "string"))
+    return r.select("record_id", F.char_length(F.coalesce(back, raw)).cast("bigint").alias("n_chars"))
 
 
 QUERIES = {
