@@ -5,7 +5,8 @@ mark follows. The last trigram of a value is then looked up: one that is
 frequent inside but almost never at an end tells of a cut. Where a trigram is
 too rare the last two words or the last word decide, and a last word that is
 known neither itself nor by its ending was cut in the middle. Unclosed reply
-structure and values that are exactly as long as a field's limit count too.
+structure and values that are exactly as long as a field's limit count too;
+limits are the lengths at which different unmarked values of a backend pile up.
 All of it is SQL.
 """
 
@@ -28,8 +29,10 @@ TERMINAL, TERMINAL_WORD = 0.03, 0.01
 KNOWN = 3
 #: A value shorter than this can't be told from an empty answer.
 LEAST_CHARS = 12
-#: Unmarked values of the greatest length of their source, from which that length is a limit.
+#: Different unmarked values of one length and source, from which that length may be a limit.
 AT_LIMIT = 5
+#: Times that they must outnumber those of the lengths around; and those of lengths just below a limit, where a blank or half a character went.
+PILE, NEAR = 8, 2
 
 _MARKED = r"[.!?。！？।؟][\"'”’»」』)\]）]*$|[。！？।؟][\"”’»」』）]*$"
 _LETTERS = r"[\p{L}\p{M}]+(?:[-’][\p{L}\p{M}]+)*"
@@ -73,10 +76,10 @@ claim_texts AS (
   FROM $claims LEFT JOIN (SELECT record_id, backend FROM $records) USING (record_id) WHERE text IS NOT NULL),
 both AS (SELECT * FROM replies UNION ALL SELECT * FROM claim_texts),
 lines AS (
-  SELECT *, substring_index(t, '\n', -1) AS line, length(whole) AS n_chars, octet_length(whole) AS n_bytes,
+  SELECT *, substring_index(t, '\n', -1) AS line, length(whole) AS n_chars, length(t) AS t_chars, octet_length(t) AS t_bytes, xxhash64(t) AS t_hash,
     field_name = 'raw_generation' AND t RLIKE {_lit(_JSON)} AND length(t) > 4 AS is_json
   FROM both)
-SELECT field_name, row_id, backend, n_chars, n_bytes, is_json,
+SELECT field_name, row_id, backend, n_chars, t_chars, t_bytes, t_hash, is_json,
   right(whole, 40) RLIKE {_lit(r"\x{FFFD}\s*$")} AS broken,
   line RLIKE {_lit(_CITE)} AS is_cite,
   CASE WHEN is_json THEN NOT regexp_replace(t, {_lit(_FENCE)}, '') RLIKE {_lit(_JSON_END)}
@@ -108,6 +111,21 @@ words AS (SELECT explode(slice(w, 1, size(w) - 1)) AS word FROM toks WHERE size(
 SELECT word, count(*) AS word_n FROM words WHERE length(word) > 1 GROUP BY word HAVING count(*) >= {KNOWN}
 """
 
+# lengths without what was put after a text, so that a mark put after a cut doesn't hide the limit; few lengths are left, whatever the rows
+_LIMITS = f"""
+WITH u AS (SELECT field_name, backend, t_hash, t_chars, t_bytes FROM $seen WHERE NOT marked AND (open_structure OR NOT is_json)),
+l AS (SELECT field_name, backend, unit, size, approx_count_distinct(t_hash) AS n
+  FROM u LATERAL VIEW stack(2, 'chars', t_chars, 'bytes', t_bytes) x AS unit, size GROUP BY 1, 2, 3, 4),
+around AS (SELECT *, greatest(
+    coalesce(sum(n) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN 24 PRECEDING AND 4 PRECEDING), 0),
+    coalesce(sum(n) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN 4 FOLLOWING AND 24 FOLLOWING), 0)) / 21 AS usual FROM l),
+piles AS (SELECT *, n >= {AT_LIMIT} AND n > {PILE} * usual AS pile FROM around)
+SELECT field_name, backend, unit, size FROM (
+  SELECT *, bool_or(pile) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING) AS below_3,
+    bool_or(pile) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING) AS below_1 FROM piles)
+WHERE if(unit = 'bytes', below_3, below_1) AND n > {NEAR} * usual
+"""
+
 
 def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
     """(field_name, row_id, backend, truncated, evidence) of every value that isn't null, redelivered rows once.
@@ -149,7 +167,7 @@ def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
         t1 AS (SELECT c, sum(i2) AS i1, sum(e2) AS e1 FROM t2 GROUP BY 1),
         s AS (SELECT tail, sum(inner_n + end_n) AS s_n FROM $counts WHERE tail IS NOT NULL GROUP BY 1),
         st AS (SELECT sum(s_n) AS s_all FROM s)
-        SELECT e.field_name, e.row_id, e.backend, e.n_chars, e.n_bytes, e.is_json, e.broken, e.is_cite, e.open_structure, e.ec, e.c, e.marked, e.in_letters, e.body,
+        SELECT e.field_name, e.row_id, e.backend, e.n_chars, e.t_chars, e.t_bytes, e.t_hash, e.is_json, e.broken, e.is_cite, e.open_structure, e.ec, e.c, e.marked, e.in_letters, e.body,
           coalesce(i3, 0) AS i3, coalesce(e3, 0) AS e3, coalesce(i2, 0) AS i2, coalesce(e2, 0) AS e2, coalesce(i1, 0) AS i1, coalesce(e1, 0) AS e1, coalesce(s_n, 0) AS s_n, s_all, word_n IS NOT NULL AS known
         FROM $ends e LEFT JOIN t3 ON e.a = t3.a AND e.b = t3.b AND e.c = t3.c LEFT JOIN t2 ON e.b = t2.b AND e.c = t2.c
         LEFT JOIN t1 ON e.c = t1.c LEFT JOIN s ON e.tail = s.tail LEFT JOIN $known kn ON e.ec = kn.word CROSS JOIN st""",
@@ -159,13 +177,9 @@ def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
     ), "ends")
     return query(
         spark,
-        f"""WITH at AS (SELECT field_name, backend, n_chars, count_if(NOT marked) AS n FROM $seen GROUP BY 1, 2, 3),
-        top AS (SELECT field_name, backend, max_by(n_chars, n_chars) AS top, max_by(n, n_chars) AS n FROM at GROUP BY 1, 2),
-        atb AS (SELECT field_name, backend, n_bytes, count_if(NOT marked) AS n FROM $seen GROUP BY 1, 2, 3),
-        topb AS (SELECT field_name, backend, max_by(n_bytes, n_bytes) AS topb, max_by(n, n_bytes) AS nb FROM atb GROUP BY 1, 2),
-        j AS (SELECT seen.*, n >= {AT_LIMIT} AND n_chars = top OR nb >= {AT_LIMIT} AND n_bytes BETWEEN topb - 3 AND topb AS full
-          FROM $seen seen JOIN top ON seen.field_name = top.field_name AND seen.backend <=> top.backend
-          JOIN topb ON seen.field_name = topb.field_name AND seen.backend <=> topb.backend),
+        f"""WITH j AS (SELECT seen.*, c.size IS NOT NULL OR b.size IS NOT NULL AS full FROM $seen seen
+          LEFT JOIN (SELECT * FROM $limits WHERE unit = 'chars') c ON seen.field_name = c.field_name AND seen.backend <=> c.backend AND t_chars = c.size
+          LEFT JOIN (SELECT * FROM $limits WHERE unit = 'bytes') b ON seen.field_name = b.field_name AND seen.backend <=> b.backend AND t_bytes = b.size),
         k AS (SELECT *,
           c = '~' AND in_letters AND ec RLIKE '^[a-zß-ÿа-я’-]+$' AND s_n < greatest(3, s_all * 0.0008) AND NOT known AND (NOT is_cite OR body RLIKE {_lit(_PLAIN_WORD)}) AS mid_word,
           CASE WHEN i3 + e3 >= {SEEN} THEN e3 < {TERMINAL} * (i3 + e3) WHEN i2 + e2 >= {SEEN} THEN e2 < {TERMINAL} * (i2 + e2)
@@ -180,6 +194,7 @@ def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
           WHEN is_cite THEN NULL WHEN not_terminal THEN 'trigram' END AS evidence
         FROM k""",
         seen=seen,
+        limits=spool(query(spark, _LIMITS, seen=seen), "limits"),
     ).selectExpr("field_name", "row_id", "backend", "evidence IS NOT NULL AS truncated", "evidence")
 
 

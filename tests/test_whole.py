@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from attestra import catalog
+from attestra.llm import p06_truncated
 
 
 def _with(data, tmp, **tables):
@@ -37,3 +38,24 @@ def test_wrapped_replies_are_decoded_whole(spark, data, tmp_path):
     t = t.set_column(t.column_names.index("raw_generation"), "raw_generation", pa.array(raw, t.schema.field("raw_generation").type))
     got = {r["record_id"]: r["n_chars"] for r in catalog.QUERIES["fn28_unwrapped"](spark, _with(data, tmp_path, query_records=t)).collect()}
     assert got == {i: len(_decoded(x)) for i, x in zip(t["record_id"].to_pylist(), raw) if x is not None}
+
+
+def _replies(data, tmp, rows, **more):
+    """The data with these (record_id, backend, raw_generation) as its records, other columns as in the first rows."""
+    t = pq.read_table(f"{data}/query_records.parquet")
+    t = t.take([i % len(t) for i in range(len(rows))])
+    for name, values in zip(("record_id", "backend", "raw_generation"), zip(*rows)):
+        t = t.set_column(t.column_names.index(name), name, pa.array(values, t.schema.field(name).type))
+    return _with(data, tmp, query_records=t, **more)
+
+
+def test_limits_are_lengths_at_which_values_pile_up(spark, data, tmp_path):
+    word = lambda i, n: "".join(f"{(i * 7919 + k * 104729) % 99991} of " for k in range(n // 5 + 1))[: n - 2] + "of"
+    cut = {i: ("vllm:a", word(i, 700) + (" ..." if i % 5 == 0 else "")) for i in range(1, 31)}
+    cut |= {i: ("vllm:b", word(i, 399) + "é" * 150 + "of") for i in range(31, 41)}  # 701 bytes
+    whole = {i: ("vllm:a", word(i, 400 + i * 3) + ".") for i in range(41, 201)}
+    whole |= {i: ("vllm:a", word(i, 900 + 11 * i) + "of") for i in range(201, 211)}  # beyond the limit, so not cut by it
+    whole |= {i: ("vllm:a", word(1, 300)) for i in range(211, 221)}  # one reply given ten times
+    rows = [(i, b, t) for i, (b, t) in (cut | whole).items()]
+    j = p06_truncated.judged(spark, _replies(data, tmp_path, rows)).where("field_name = 'raw_generation' and evidence = 'at_limit'")
+    assert {r["row_id"] for r in j.collect()} == set(cut)
