@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import r6
 from ..functions.text import blind_id
+from ..plans.durable import spool
 from ..sources import records as R
 from ..sources.tables import once, table
 
@@ -106,17 +107,21 @@ def split_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def control_draw(spark: SparkSession, d: str, n: int = 3) -> DataFrame:
-    """Per query n passages that are neither gold nor blank, drawn by hash without replacement.
+    """Per query n of all passages that are neither gold nor blank, drawn uniformly without replacement.
 
-    A query draws from its slice of the passages, a sixteenth of them by hash:
-    an equality join, no product of all queries and passages.
+    Passages are numbered in hash order and a query draws keyed random numbers, at
+    most ``50 * n``. Of its different numbers only so many are looked up as are
+    sure to hold n that aren't gold: no product of all queries and passages.
     """
-    p = R.passages(spark, d).where(F.trim("text") != "").select("passage_id")
-    q = R.records(spark, d, "query_id").select("query_id").distinct()
-    g = R.records(spark, d, "query_id", "gold_passage_ids").select("query_id", F.explode("gold_passage_ids").alias("passage_id")).distinct()
-    x = q.join(p, F.substring(F.md5("passage_id"), 1, 1) == F.substring(F.md5("query_id"), 1, 1))
-    x = x.join(g, ["query_id", "passage_id"], "left_anti").withColumn("key", hash_key(SEED, F.col("query_id"), F.col("passage_id")))
-    w = Window.partitionBy("query_id").orderBy("key", "passage_id")
+    p = spool(R.passages(spark, d).where(F.col("text").rlike(r"(?U)\S")).select("passage_id", hash_key(SEED, F.col("passage_id")).alias("key")), "control")
+    size = p.agg(F.count(F.lit(1)).alias("size")).where("size > 0")
+    r = R.records(spark, d, "query_id", "gold_passage_ids").where("query_id is not null")
+    q = r.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_set(F.coalesce("gold_passage_ids", F.array().cast("array<string>"))))).alias("gold"))
+    number = lambda i: F.conv(F.substring(hash_key(SEED, F.col("query_id"), i), 1, 15), 16, 10).cast("bigint") % F.col("size")
+    tries = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(50 * n)), number))
+    x = q.crossJoin(F.broadcast(size)).select("query_id", "gold", F.posexplode(F.slice(tries, 1, F.size("gold") + n)).alias("nth", "pos"))
+    x = x.join(ordered(p, "key", "passage_id").select("passage_id", "pos"), "pos").where(~F.coalesce(F.array_contains("gold", F.col("passage_id")), F.lit(False)))
+    w = Window.partitionBy("query_id").orderBy("nth")
     return x.withColumn("slot", F.row_number().over(w).cast("bigint")).where(F.col("slot") <= n).select("query_id", "slot", "passage_id")
 
 

@@ -59,3 +59,23 @@ def test_limits_are_lengths_at_which_values_pile_up(spark, data, tmp_path):
     rows = [(i, b, t) for i, (b, t) in (cut | whole).items()]
     j = p06_truncated.judged(spark, _replies(data, tmp_path, rows)).where("field_name = 'raw_generation' and evidence = 'at_limit'")
     assert {r["row_id"] for r in j.collect()} == set(cut)
+
+
+def test_control_draw_is_over_all_passages(spark, data, tmp_path):
+    t = pq.read_table(f"{data}/query_records.parquet")
+    ids = [f"q{i}" for i in range(len(t))]
+    chunks = {p for p, x in zip(*(pq.read_table(f"{data}/chunks.parquet")[c].to_pylist() for c in ("passage_id", "text"))) if p and x and x.strip()}
+    some = sorted(chunks)
+    for name, values in (("record_id", range(len(t))), ("query_id", ids), ("gold_passage_ids", [some[i % 7 :: 7] for i in range(len(t))])):
+        t = t.set_column(t.column_names.index(name), name, pa.array(list(values), t.schema.field(name).type))
+    got = catalog.QUERIES["top12_control_draw"](spark, _with(data, tmp_path, query_records=t)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], {})[r["slot"]] = r["passage_id"]
+    assert by.keys() == set(ids)
+    for i, q in enumerate(ids):
+        assert sorted(by[q]) == [1, 2, 3] and len(set(by[q].values())) == 3
+        assert not set(by[q].values()) & set(some[i % 7 :: 7]) and set(by[q].values()) <= chunks
+    counts = [sum(p in x.values() for x in by.values()) for p in some]
+    assert sum(c > 0 for c in counts) >= 0.95 * len(some) * (1 - (1 - 1 / len(some)) ** (3 * len(ids)))
+    assert max(counts) < 3 * len(ids) / len(some) + 6 * (3 * len(ids) / len(some)) ** 0.5 + 3
