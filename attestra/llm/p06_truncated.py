@@ -7,6 +7,8 @@ too rare the last two words or the last word decide, and a last word that is
 known neither itself nor by its ending was cut in the middle. Unclosed reply
 structure and values that are exactly as long as a field's limit count too;
 limits are the lengths at which different unmarked values of a backend pile up.
+A quotation may stop anywhere, so a reply's last one is held against those that
+are stored with its claims: one that goes on further tells of a cut.
 All of it is SQL.
 """
 
@@ -62,6 +64,7 @@ _JSON_END = r"[\]\}]$"
 _FENCE = r"\s*```$"
 _CITE = r"^\s*CITE\b"
 _CITE_WHOLE = r"\|\|\s*\S"
+_CITED = r"^\s*CITE\s*\d*\s*:(.*?)\|\|"
 _CLAIM_BEFORE = r"CLAIM\s*\d+\s*:[^\n]*\S[^\n]*\n"
 _HEAD_ONLY = r"^\s*(?:C|CL|CLA|CLAI|CI|CIT|CLAIM\s*\d*\s*:?|\d+[.)])\s*$"
 _HEAD = r"^\s*(?:CLAIM\s*\d+\s*:|\d+[.)]|CITE\s*\d*\s*:.*?\|\|)\s*"
@@ -82,6 +85,7 @@ lines AS (
 SELECT field_name, row_id, backend, n_chars, t_chars, t_bytes, t_hash, is_json,
   right(whole, 40) RLIKE {_lit(r"\x{FFFD}\s*$")} AS broken,
   line RLIKE {_lit(_CITE)} AS is_cite,
+  CASE WHEN field_name = 'raw_generation' AND NOT is_json THEN trim(regexp_extract(line, {_lit(_CITED)}, 1)) END AS cited,
   CASE WHEN is_json THEN NOT regexp_replace(t, {_lit(_FENCE)}, '') RLIKE {_lit(_JSON_END)}
          OR length(replace(t, '{{', '')) <> length(replace(t, '}}', ''))
        WHEN field_name = 'claim_text' THEN false
@@ -127,6 +131,21 @@ WHERE if(unit = 'bytes', below_3, below_1) AND n > {NEAR} * usual
 """
 
 
+def _plain(x: str) -> str:
+    """A quotation in small letters without outer marks, white space as single blanks."""
+    return f"regexp_replace(regexp_replace(lower({_bare(x)}), {_lit(r'(?U)\s+')}, ' '), {_lit('^[ \"“”«»„「]+|[ \"“”«»„」]+$')}, '')"
+
+
+# last quotations that no stored quotation of their record and passage equals, and one goes on further
+_CUT_QUOTES = f"""
+WITH q AS (SELECT row_id, cited, {_plain('body')} AS quote FROM $seen WHERE cited <> ''),
+s AS (SELECT record_id, trim(c.passage_id) AS passage_id, c.quoted_text FROM (SELECT record_id, explode(citations) AS c FROM $cites) WHERE c.quoted_text IS NOT NULL),
+j AS (SELECT row_id, quote, {_plain('quoted_text')} AS stored FROM q JOIN s ON row_id = record_id AND cited = passage_id WHERE quote <> '')
+SELECT row_id AS cut_id FROM j WHERE startswith(stored, quote)
+GROUP BY row_id, quote HAVING bool_or(substr(stored, length(quote) + 1) RLIKE {_lit(r'[\p{L}\p{N}]')}) AND NOT bool_or(stored = quote)
+"""
+
+
 def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
     """(field_name, row_id, backend, truncated, evidence) of every value that isn't null, redelivered rows once.
 
@@ -167,7 +186,7 @@ def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
         t1 AS (SELECT c, sum(i2) AS i1, sum(e2) AS e1 FROM t2 GROUP BY 1),
         s AS (SELECT tail, sum(inner_n + end_n) AS s_n FROM $counts WHERE tail IS NOT NULL GROUP BY 1),
         st AS (SELECT sum(s_n) AS s_all FROM s)
-        SELECT e.field_name, e.row_id, e.backend, e.n_chars, e.t_chars, e.t_bytes, e.t_hash, e.is_json, e.broken, e.is_cite, e.open_structure, e.ec, e.c, e.marked, e.in_letters, e.body,
+        SELECT e.field_name, e.row_id, e.backend, e.n_chars, e.t_chars, e.t_bytes, e.t_hash, e.is_json, e.broken, e.is_cite, e.cited, e.open_structure, e.ec, e.c, e.marked, e.in_letters, e.body,
           coalesce(i3, 0) AS i3, coalesce(e3, 0) AS e3, coalesce(i2, 0) AS i2, coalesce(e2, 0) AS e2, coalesce(i1, 0) AS i1, coalesce(e1, 0) AS e1, coalesce(s_n, 0) AS s_n, s_all, word_n IS NOT NULL AS known
         FROM $ends e LEFT JOIN t3 ON e.a = t3.a AND e.b = t3.b AND e.c = t3.c LEFT JOIN t2 ON e.b = t2.b AND e.c = t2.c
         LEFT JOIN t1 ON e.c = t1.c LEFT JOIN s ON e.tail = s.tail LEFT JOIN $known kn ON e.ec = kn.word CROSS JOIN st""",
@@ -188,12 +207,14 @@ def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
         SELECT field_name, row_id, backend, CASE
           WHEN broken THEN 'broken_character' WHEN n_chars < {LEAST_CHARS} THEN NULL WHEN ec = '' AND NOT open_structure THEN NULL
           WHEN open_structure THEN 'open_structure'
+          WHEN cut_id IS NOT NULL THEN 'quote'
           WHEN is_json OR body RLIKE '^<[^>]*>' THEN NULL
           WHEN marked THEN NULL
           WHEN full THEN 'at_limit' WHEN mid_word THEN 'mid_word'
           WHEN is_cite THEN NULL WHEN not_terminal THEN 'trigram' END AS evidence
-        FROM k""",
+        FROM k LEFT JOIN $cut_quotes ON field_name = 'raw_generation' AND row_id = cut_id""",
         seen=seen,
+        cut_quotes=query(spark, _CUT_QUOTES, seen=seen, cites=table(spark, d, "claims").select("record_id", "citations")),
         limits=spool(query(spark, _LIMITS, seen=seen), "limits"),
     ).selectExpr("field_name", "row_id", "backend", "evidence IS NOT NULL AS truncated", "evidence")
 

@@ -61,6 +61,20 @@ def test_limits_are_lengths_at_which_values_pile_up(spark, data, tmp_path):
     assert {r["row_id"] for r in j.collect()} == set(cut)
 
 
+def test_last_quotes_are_held_against_stored_ones(spark, data, tmp_path):
+    long, other = "Of 212 adults with gout, the drug lowered pain at rest in most of them", "Of 212 adults"
+    reply = lambda q, p="7:1": f"DECISION: yes\nCLAIM 1: It helps.\nCITE 1: 7:0 || It was so.\nCLAIM 2: It works.\nCITE 2: {p} || {q}"
+    quotes = {1: long, 2: long[:40].rstrip(), 3: long[:12].upper() + " ...", 4: "«" + long + "»", 5: "the drug lowered pain", 6: other, 7: long[:41], 8: long[:24] + " [truncated]"}
+    rows = [(i, "vllm:a", reply(q)) for i, q in quotes.items()] + [(9, "vllm:a", reply(long[:20], "7:2")), (10, "vllm:a", reply(long[:20]) + "\nCITE 3: 7:0 || It was so.")]
+    c = pq.read_table(f"{data}/claims.parquet").slice(0, 12)
+    cites = [[{"passage_id": "7:0", "char_start": 0, "char_end": 10, "quoted_text": "It was so."}, {"passage_id": "7:1", "char_start": 0, "char_end": 70, "quoted_text": long}] for _ in range(12)]
+    cites[10] = [{"passage_id": "7:1", "char_start": 0, "char_end": 13, "quoted_text": other}]
+    for name, values in (("claim_key", range(1, 13)), ("record_id", [*range(1, 11), 6, 99]), ("citations", cites)):
+        c = c.set_column(c.column_names.index(name), name, pa.array(list(values), c.schema.field(name).type))
+    j = p06_truncated.judged(spark, _replies(data, tmp_path, rows, claims=c)).where("field_name = 'raw_generation' and evidence = 'quote'")
+    assert {r["row_id"] for r in j.collect()} == {2, 3, 7, 8}
+
+
 def test_control_draw_is_over_all_passages(spark, data, tmp_path):
     t = pq.read_table(f"{data}/query_records.parquet")
     ids = [f"q{i}" for i in range(len(t))]
