@@ -24,10 +24,10 @@ from . import labelmodel, p06_truncated
 
 #: Rows that the starting accuracies count as in the label model.
 STRENGTH = 300.0
-#: Characters of statements from which a reply is no mere refusal or repetition of a short question.
+#: Characters of statements from which a reply is no mere repetition of a short question.
 LONG = 1500
-#: Characters of statements from which a reply that says a declining phrase says more than that.
-DECLINE = 600
+#: Share of a reply's sentences and lines above which those that decline are the reply, not a remark in a longer one.
+DECLINE = 0.5
 #: The order in which kinds with equal posteriors win, where one label is wanted.
 KINDS = ("empty", "copied_question", "refusal", "wrong_language", "truncated")
 #: Posterior from which a kind is kept, chosen by precision on hand-checked replies.
@@ -66,6 +66,7 @@ DECLINES = (
 )
 
 _LEAD = r"(?i)^[\s>*#\"“-]*(?:(?:you asked|question|q|frage|pregunta|la question|vous demandez|sie fragen|usted pregunta|您问|问题|問題|質問)\s*[:：.]?\s+|[>]\s*)?"
+_SENTENCE = r"(?<=[.!?])\s+|(?<=[。！？।؟])|\n"
 _BLANKS = ("", "null", "na", "none", "nil", "answer", "answeranswer", "noanswer", "empty", "undefined", "decision", "claim1", "decisionclaim1", "text", "todo", "tbd")
 
 
@@ -136,16 +137,19 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
     raw = F.coalesce("raw_generation", F.lit(""))
     x = rec.join(err, "record_id", "left").join(cut, "record_id", "left")
     x = x.select("record_id", F.coalesce("question", F.lit("")).alias("q"), raw.alias("raw"), F.coalesce("err", F.lit("")).alias("err"), F.coalesce("cut", F.lit(0)).alias("cut"), body(raw).alias("b"))
-    x = x.withColumns({"nb": F.when(F.char_length("b") < LONG, _norm(F.regexp_replace(F.col("b"), _LEAD, ""))).otherwise(F.col("b")), "nq": _norm(F.col("q")), "lb": F.when(F.char_length("b") < DECLINE, F.lower(F.col("b")))})
+    x = x.withColumns({"nb": _norm(F.regexp_replace(F.col("b"), _LEAD, "")), "nq": _norm(F.col("q")), "lb": F.lower(F.col("b"))})
     x = spool(x, "statements")
     x = x.join(compare_languages(x), "record_id")
     size, asked = F.char_length("nb"), F.char_length("nq")
-    # a whole reply that declines, or gives the question back, isn't long; longer ones are spared the patterns
+    # a whole reply that gives the question back isn't long; longer ones are spared the comparison of words
     brief = F.char_length("b") < 3 * F.char_length("q") + LONG
     words_b, words_q = (F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")) for c in (F.when(brief, F.col("b")).otherwise(F.lit("")), F.col("q")))
     shared = F.size(F.array_intersect(words_b, words_q))
     no_figures = ~F.col("b").rlike(r"\d")
-    declines = F.col("lb").rlike("(?is)" + "|".join(f"(?:{p})" for p in DECLINES))
+    phrase = "(?is)" + "|".join(f"(?:{p})" for p in DECLINES)
+    declines = F.col("lb").rlike(phrase)
+    said = F.filter(F.split("lb", _SENTENCE), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    mostly = F.when(declines, F.size(F.filter(said, lambda p: p.rlike(phrase))) > DECLINE * F.size(said))
     known = F.col("ql").isNotNull() & F.col("bl").isNotNull()
     lf = {
         "empty_blank": F.col("nb").isin(*_BLANKS),
@@ -155,6 +159,7 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
         "truncated_errors": F.col("err").rlike("ends without text|unterminated|body missing"),
         "truncated_open": ~F.right(F.col("raw"), F.lit(40)).rlike(r"[.!?。！？।؟\]\}][\"'”’»)]*\s*$"),
         "refusal_phrase": declines,
+        "refusal_share": mostly,
         "refusal_short": (size > 3) & (size < 260) & no_figures,
         "refusal_bare": ~F.col("raw").rlike(r"CITE\s*\d*\s*:|passage_id"),
         "refusal_errors": F.col("err").rlike("no claim line|nothing to decompose"),
@@ -172,7 +177,7 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 FUNCTIONS = {
     "empty": {"empty_blank": (0.98, 0.0005), "empty_short": (0.95, 0.003), "empty_errors": (0.5, 0.03)},
     "truncated": {"truncated_end": (0.95, 0.0005), "truncated_errors": (0.4, 0.02), "truncated_open": (0.85, 0.4)},
-    "refusal": {"refusal_phrase": (0.97, 0.002), "refusal_short": (0.97, 0.05), "refusal_bare": (0.85, 0.35), "refusal_errors": (0.3, 0.02)},
+    "refusal": {"refusal_phrase": (0.97, 0.002), "refusal_share": (0.8, 0.002), "refusal_short": (0.97, 0.05), "refusal_bare": (0.85, 0.35), "refusal_errors": (0.3, 0.02)},
     "copied_question": {"copied_text": (0.95, 0.0005), "copied_words": (0.95, 0.001), "copied_length": (0.95, 0.03)},
     "wrong_language": {"language_best": (0.98, 0.003), "language_margin": (0.95, 0.001), "language_absent": (0.85, 0.002)},
 }

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from attestra import catalog
-from attestra.llm import p06_truncated
+from attestra.llm import p04_defects, p06_truncated
 
 
 def _with(data, tmp, **tables):
@@ -93,3 +93,15 @@ def test_control_draw_is_over_all_passages(spark, data, tmp_path):
     counts = [sum(p in x.values() for x in by.values()) for p in some]
     assert sum(c > 0 for c in counts) >= 0.95 * len(some) * (1 - (1 - 1 / len(some)) ** (3 * len(ids)))
     assert max(counts) < 3 * len(ids) / len(some) + 6 * (3 * len(ids) / len(some)) ** 0.5 + 3
+
+
+def test_long_refusals_and_long_frames_are_told(spark, data, tmp_path):
+    no = "I am sorry, but I cannot answer this question from the passages. The excerpts do not allow a verdict on it. Unfortunately, no conclusion is possible here. "
+    answer = "".join(f"In week {i} the drug lowered pain in {i + 20} of 90 adults. " for i in range(40))
+    rows = [(1, "vllm:a", (no * 6).strip()), (2, "vllm:a", "CLAIM 1: " + answer + "Unfortunately, week 41 is missing.\nCITE 1: 7:0 || In week 3"), (3, "vllm:a", "- -\n" * 700)]
+    rows += [(i, "vllm:a", "DECISION: yes\nCLAIM 1: " + answer[: 400 + 5 * i].rsplit(".", 1)[0] + ".\nCITE 1: 7:0 || In week 3") for i in range(4, 60)]
+    v = {r["record_id"]: r for r in p04_defects.votes(spark, _replies(data, tmp_path, rows)).collect()}
+    assert (v[1]["refusal_phrase"], v[1]["refusal_share"]) == (1, 1)
+    assert (v[2]["refusal_phrase"], v[2]["refusal_share"]) == (1, 0)
+    assert v[3]["empty_short"] == 1
+    assert v[9]["refusal_phrase"] == v[9]["empty_short"] == 0
