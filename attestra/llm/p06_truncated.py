@@ -6,9 +6,15 @@ frequent inside but almost never at an end tells of a cut. Where a trigram is
 too rare the last two words or the last word decide, and a last word that is
 known neither itself nor by its ending was cut in the middle. Unclosed reply
 structure and values that are exactly as long as a field's limit count too;
-limits are the lengths at which different unmarked values of a backend pile up.
-A quotation may stop anywhere, so a reply's last one is held against those that
-are stored with its claims: one that goes on further tells of a cut.
+limits are the lengths, in characters, bytes or tokens, at which different
+unmarked values of a backend pile up.
+
+Exact checks follow where the data hold what a text was copied from. A
+quotation may stop anywhere, so a reply's last one is held against those that
+are stored with its claims: one that goes on further tells of a cut, an equal
+one of a whole reply. A claim is held against its span of the reply: one that
+the reply carries on was cut, one that the reply ends just as the claim does is
+whole, unless the reply itself was cut there.
 All of it is SQL.
 """
 
@@ -21,14 +27,16 @@ from ..plans.durable import spool
 from ..plans.views import query
 from ..sources.tables import once, table
 
-#: Words that make up less than this share of all words are rare; so at most 1 / SHARE words are frequent, which bounds the broadcast.
-SHARE = 2e-5
+#: Sightings inside lines from which a word stands for itself in trigrams; rarer ones are written ~.
+SUPPORT = 20
+#: Sightings inside lines that make a word known.
+KNOWN = 3
 #: Sightings from which a trigram (pair, word) is judged by itself.
 SEEN = 10
 #: Share of sightings at an end, below which trigram and pair, or the last word alone, aren't terminal.
 TERMINAL, TERMINAL_WORD = 0.03, 0.01
-#: Sightings inside lines that make a word known, however rare it is in claims.
-KNOWN = 3
+#: Share of rare words below which an ending of three letters is unusual, and the sightings that it needs at least.
+ENDING, ENDING_SEEN = 0.0008, 3
 #: A value shorter than this can't be told from an empty answer.
 LEAST_CHARS = 12
 #: Different unmarked values of one length and source, from which that length may be a limit.
@@ -37,9 +45,12 @@ AT_LIMIT = 5
 PILE, NEAR = 8, 2
 
 _MARKED = r"[.!?。！？।؟][\"'”’»」』)\]）]*$|[。！？।؟][\"”’»」』）]*$"
-_LETTERS = r"[\p{L}\p{M}]+(?:[-’][\p{L}\p{M}]+)*"
 _TOKEN = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]|[\p{L}\p{M}]+(?:[-’][\p{L}\p{M}]+)*|[0%)]"
-_PUT_AFTER = r"(?:\s|\.\.+|…|\[(?:…|\.\.\.|truncated|cut)\]|\((?:truncated|cut)\)|\x{FFFD}|[-–—])+$"
+# what may be put after a cut text: white space, dashes, half characters, dots; one dot alone is a sentence mark
+_BLANK = " \t\n\r\x0b\x0c\u0085               　"
+_TRAIL = _BLANK + "�-–—….‐"
+_NOTE = r"[\[(](?:…|\.\.\.|truncated|cut)[\])]$"
+_ONE_DOT = r"^\s*[.](?![.])"
 
 
 def _lit(pattern: str) -> str:
@@ -48,8 +59,9 @@ def _lit(pattern: str) -> str:
 
 
 def _bare(x: str) -> str:
-    """``x`` without what was put after the text; only its last characters are searched."""
-    return f"concat(left({x}, greatest(length({x}) - 64, 0)), regexp_replace(right({x}, least(64, length({x}))), {_lit(_PUT_AFTER)}, ''))"
+    """``x`` without what was put after the text, however long that is; a single dot behind the text stays."""
+    cut = f"rtrim({_lit(_TRAIL)}, regexp_replace(rtrim({_lit(_TRAIL)}, {x}), {_lit(_NOTE)}, ''))"
+    return f"concat({cut}, regexp_extract(substr({x}, length({cut}) + 1), {_lit(_ONE_DOT)}, 0))"
 
 
 def _tokens(x: str) -> str:
@@ -68,58 +80,85 @@ _CITED = r"^\s*CITE\s*\d*\s*:(.*?)\|\|"
 _CLAIM_BEFORE = r"CLAIM\s*\d+\s*:[^\n]*\S[^\n]*\n"
 _HEAD_ONLY = r"^\s*(?:C|CL|CLA|CLAI|CI|CIT|CLAIM\s*\d*\s*:?|\d+[.)])\s*$"
 _HEAD = r"^\s*(?:CLAIM\s*\d+\s*:|\d+[.)]|CITE\s*\d*\s*:.*?\|\|)\s*"
-
-_UNITS = f"""
-WITH replies AS (
-  SELECT 'raw_generation' AS field_name, record_id AS row_id, backend, raw_generation AS whole,
-    {_bare('raw_generation')} AS t
-  FROM $records WHERE raw_generation IS NOT NULL),
-claim_texts AS (
-  SELECT 'claim_text' AS field_name, claim_key AS row_id, backend, text AS whole, {_bare('text')} AS t
+_TAG = r"^<[^>]*>"
+
+_VALUES = f"""
+WITH v AS (
+  SELECT 'raw_generation' AS field_name, record_id AS row_id, record_id, backend, completion_tokens AS t_tokens, raw_generation AS whole,
+    CAST(NULL AS int) AS source_start, CAST(NULL AS int) AS source_end
+  FROM $records WHERE raw_generation IS NOT NULL
+  UNION ALL
+  SELECT 'claim_text', claim_key, record_id, backend, CAST(NULL AS bigint), text, source_start, source_end
   FROM $claims LEFT JOIN (SELECT record_id, backend FROM $records) USING (record_id) WHERE text IS NOT NULL),
-both AS (SELECT * FROM replies UNION ALL SELECT * FROM claim_texts),
+b AS (SELECT *, {_bare('whole')} AS t, rtrim({_lit(_BLANK)}, whole) AS seen_end FROM v),
 lines AS (
-  SELECT *, substring_index(t, '\n', -1) AS line, length(whole) AS n_chars, length(t) AS t_chars, octet_length(t) AS t_bytes, xxhash64(t) AS t_hash,
-    field_name = 'raw_generation' AND t RLIKE {_lit(_JSON)} AND length(t) > 4 AS is_json
-  FROM both)
-SELECT field_name, row_id, backend, n_chars, t_chars, t_bytes, t_hash, is_json,
-  right(whole, 40) RLIKE {_lit(r"\x{FFFD}\s*$")} AS broken,
-  line RLIKE {_lit(_CITE)} AS is_cite,
-  CASE WHEN field_name = 'raw_generation' AND NOT is_json THEN trim(regexp_extract(line, {_lit(_CITED)}, 1)) END AS cited,
-  CASE WHEN is_json THEN NOT regexp_replace(t, {_lit(_FENCE)}, '') RLIKE {_lit(_JSON_END)}
-         OR length(replace(t, '{{', '')) <> length(replace(t, '}}', ''))
-       WHEN field_name = 'claim_text' THEN false
-       ELSE (line RLIKE {_lit(_CITE)} AND NOT line RLIKE {_lit(_CITE_WHOLE)})
-         OR (line RLIKE {_lit(_HEAD_ONLY)} AND t RLIKE {_lit(_CLAIM_BEFORE)}) END AS open_structure,
-  regexp_replace(line, {_lit(_HEAD)}, '') AS body,
-  right(whole, 40) RLIKE {_lit(r"(?:\.\.+|…)\s*$")} AS dotted
-FROM lines
+  SELECT *, substring_index(t, '\n', -1) AS line, field_name = 'raw_generation' AND length(t) > 4 AND t RLIKE {_lit(_JSON)} AS is_json FROM b),
+bodies AS (
+  SELECT *, line RLIKE {_lit(_CITE)} AS is_cite, regexp_replace(line, {_lit(_HEAD)}, '') AS body FROM lines),
+u AS (
+  SELECT field_name, row_id, record_id, backend, is_json, is_cite, source_start, source_end, length(whole) AS n_chars, length(t) AS t_chars, octet_length(t) AS t_bytes, t_tokens,
+    xxhash64(t) AS t_hash, endswith(seen_end, '�') AS broken,
+    CASE WHEN field_name = 'raw_generation' AND NOT is_json THEN trim(regexp_extract(line, {_lit(_CITED)}, 1)) END AS cited,
+    CASE WHEN is_json THEN NOT regexp_replace(t, {_lit(_FENCE)}, '') RLIKE {_lit(_JSON_END)}
+           OR length(replace(t, '{{', '')) <> length(replace(t, '}}', ''))
+         WHEN field_name = 'claim_text' THEN false
+         ELSE (is_cite AND NOT line RLIKE {_lit(_CITE_WHOLE)})
+           OR (line RLIKE {_lit(_HEAD_ONLY)} AND t RLIKE {_lit(_CLAIM_BEFORE)}) END AS open_structure,
+    body RLIKE {_lit(_MARKED)} AND NOT endswith(seen_end, '..') AND NOT endswith(seen_end, '…') AS marked,
+    body RLIKE {_lit(_LETTER_END)} AS in_letters, body
+  FROM bodies)
+SELECT * EXCEPT (body), if(marked OR is_json OR body RLIKE {_lit(_TAG)}, NULL, body) AS body FROM u
 """
 
+# words inside lines: the last one of a line may be cut
+_WORDS = f"""
+WITH toks AS (SELECT {_tokens('line')} AS w FROM (SELECT explode(split(raw_generation, '\n')) AS line FROM $records WHERE raw_generation IS NOT NULL)),
+words AS (SELECT explode(slice(w, 1, size(w) - 1)) AS word FROM toks WHERE size(w) > 1)
+SELECT word, count(*) AS word_n FROM words GROUP BY word HAVING count(*) >= {KNOWN}
+"""
+
+# words are mapped before trigrams are grouped, so that only frequent ones are shuffled
 _COUNTS = f"""
-WITH toks AS (SELECT {_tokens("text")} AS w, text RLIKE {_lit(_MARKED)} AND NOT text RLIKE '[.][.]+$' AS marked FROM $claims WHERE text IS NOT NULL),
-tri AS (
+WITH f AS (SELECT word FROM $words WHERE word_n >= {SUPPORT}),
+toks AS (SELECT {_tokens("text")} AS w, text RLIKE {_lit(_MARKED)} AND NOT endswith(text, '..') AS marked FROM $claims WHERE text IS NOT NULL),
+g AS (
   SELECT explode(transform(sequence(1, size(w)), k -> struct(
     if(k > 2, w[k - 3], '^') AS a, if(k > 1, w[k - 2], '^') AS b, w[k - 1] AS c, k = size(w) AS last))) AS g, marked
   FROM toks WHERE size(w) > 0)
-SELECT g.a AS a, g.b AS b, g.c AS c,
-  count_if(NOT g.last) AS inner_n, count_if(g.last AND marked) AS end_n
-FROM tri GROUP BY 1, 2, 3
+SELECT coalesce(x.word, if(g.a = '^', '^', '~')) AS a, coalesce(y.word, if(g.b = '^', '^', '~')) AS b, coalesce(z.word, '~') AS c,
+  if(z.word IS NULL, right(g.c, 3), NULL) AS tail, count_if(NOT g.last) AS inner_n, count_if(g.last AND marked) AS end_n
+FROM g LEFT JOIN f x ON g.a = x.word LEFT JOIN f y ON g.b = y.word LEFT JOIN f z ON g.c = z.word GROUP BY 1, 2, 3, 4
 """
 
-
-_WORDS = f"""
-WITH lines AS (SELECT explode(split(raw_generation, '\n')) AS line FROM $records WHERE raw_generation IS NOT NULL),
-toks AS (SELECT regexp_extract_all(lower(line), {_lit(_LETTERS)}, 0) AS w FROM lines WHERE length(line) > 2),
-words AS (SELECT explode(slice(w, 1, size(w) - 1)) AS word FROM toks WHERE size(w) > 1)
-SELECT word, count(*) AS word_n FROM words WHERE length(word) > 1 GROUP BY word HAVING count(*) >= {KNOWN}
+# only values without a sentence mark are looked up
+_ENDS = f"""
+WITH w AS (SELECT field_name, row_id, {_tokens("body")} AS w FROM $values WHERE body IS NOT NULL),
+e AS (SELECT field_name, row_id, coalesce(get(w, size(w) - 3), '^') AS ea, coalesce(get(w, size(w) - 2), '^') AS eb, coalesce(get(w, size(w) - 1), '') AS ec FROM w),
+f AS (SELECT word FROM $words WHERE word_n >= {SUPPORT}),
+m AS (SELECT e.field_name, e.row_id, e.ec, coalesce(x.word, if(ea = '^', '^', '~')) AS a, coalesce(y.word, if(eb = '^', '^', '~')) AS b,
+    if(z.word_n >= {SUPPORT}, z.word, '~') AS c, right(ec, 3) AS tail, z.word IS NOT NULL AS known
+  FROM e LEFT JOIN f x ON ea = x.word LEFT JOIN f y ON eb = y.word LEFT JOIN $words z ON ec = z.word),
+t3 AS (SELECT a, b, c, sum(inner_n) AS i3, sum(end_n) AS e3 FROM $counts GROUP BY 1, 2, 3),
+t2 AS (SELECT b, c, sum(inner_n) AS i2, sum(end_n) AS e2 FROM $counts GROUP BY 1, 2),
+t1 AS (SELECT c, sum(inner_n) AS i1, sum(end_n) AS e1 FROM $counts GROUP BY 1),
+s AS (SELECT tail, sum(inner_n + end_n) AS s_n FROM $counts WHERE tail IS NOT NULL GROUP BY 1),
+st AS (SELECT sum(s_n) AS s_all FROM s),
+n AS (SELECT m.field_name, m.row_id, m.ec, m.c, m.known, coalesce(i3, 0) AS i3, coalesce(e3, 0) AS e3, coalesce(i2, 0) AS i2, coalesce(e2, 0) AS e2,
+    coalesce(i1, 0) AS i1, coalesce(e1, 0) AS e1, coalesce(s_n, 0) AS s_n, s_all
+  FROM m LEFT JOIN t3 ON m.a = t3.a AND m.b = t3.b AND m.c = t3.c LEFT JOIN t2 ON m.b = t2.b AND m.c = t2.c
+  LEFT JOIN t1 ON m.c = t1.c LEFT JOIN s ON m.tail = s.tail CROSS JOIN st)
+SELECT field_name, row_id, ec,
+  c = '~' AND ec RLIKE '^[a-zß-ÿа-я’-]+$' AND s_n < greatest({ENDING_SEEN}, s_all * {ENDING}) AND NOT known AS unknown_word,
+  CASE WHEN i3 + e3 >= {SEEN} THEN e3 < {TERMINAL} * (i3 + e3) WHEN i2 + e2 >= {SEEN} THEN e2 < {TERMINAL} * (i2 + e2)
+       WHEN c <> '~' AND i1 + e1 >= {SEEN} THEN e1 < {TERMINAL_WORD} * (i1 + e1) ELSE false END AS not_terminal
+FROM n
 """
 
 # lengths without what was put after a text, so that a mark put after a cut doesn't hide the limit; few lengths are left, whatever the rows
 _LIMITS = f"""
-WITH u AS (SELECT field_name, backend, t_hash, t_chars, t_bytes FROM $seen WHERE NOT marked AND (open_structure OR NOT is_json)),
+WITH u AS (SELECT field_name, backend, t_hash, t_chars, t_bytes, t_tokens FROM $values WHERE NOT marked AND (open_structure OR NOT is_json)),
 l AS (SELECT field_name, backend, unit, size, approx_count_distinct(t_hash) AS n
-  FROM u LATERAL VIEW stack(2, 'chars', t_chars, 'bytes', t_bytes) x AS unit, size GROUP BY 1, 2, 3, 4),
+  FROM u LATERAL VIEW stack(3, 'chars', CAST(t_chars AS bigint), 'bytes', CAST(t_bytes AS bigint), 'tokens', t_tokens) x AS unit, size WHERE size IS NOT NULL GROUP BY 1, 2, 3, 4),
 around AS (SELECT *, greatest(
     coalesce(sum(n) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN 24 PRECEDING AND 4 PRECEDING), 0),
     coalesce(sum(n) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN 4 FOLLOWING AND 24 FOLLOWING), 0)) / 21 AS usual FROM l),
@@ -127,7 +166,7 @@ piles AS (SELECT *, n >= {AT_LIMIT} AND n > {PILE} * usual AS pile FROM around)
 SELECT field_name, backend, unit, size FROM (
   SELECT *, bool_or(pile) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING) AS below_3,
     bool_or(pile) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING) AS below_1 FROM piles)
-WHERE if(unit = 'bytes', below_3, below_1) AND n > {NEAR} * usual
+WHERE CASE unit WHEN 'bytes' THEN below_3 WHEN 'chars' THEN below_1 ELSE pile END AND n > {NEAR} * usual
 """
 
 
@@ -136,13 +175,45 @@ def _plain(x: str) -> str:
     return f"regexp_replace(regexp_replace(lower({_bare(x)}), {_lit(r'(?U)\s+')}, ' '), {_lit('^[ \"“”«»„「]+|[ \"“”«»„」]+$')}, '')"
 
 
-# last quotations that no stored quotation of their record and passage equals, and one goes on further
-_CUT_QUOTES = f"""
-WITH q AS (SELECT row_id, cited, {_plain('body')} AS quote FROM $seen WHERE cited <> ''),
+# last quotations against the stored ones of their record and passage
+_QUOTES = f"""
+WITH q AS (SELECT row_id, cited, {_plain('body')} AS quote FROM $values WHERE cited <> '' AND body IS NOT NULL),
 s AS (SELECT record_id, trim(c.passage_id) AS passage_id, c.quoted_text FROM (SELECT record_id, explode(citations) AS c FROM $cites) WHERE c.quoted_text IS NOT NULL),
 j AS (SELECT row_id, quote, {_plain('quoted_text')} AS stored FROM q JOIN s ON row_id = record_id AND cited = passage_id WHERE quote <> '')
-SELECT row_id AS cut_id FROM j WHERE startswith(stored, quote)
-GROUP BY row_id, quote HAVING bool_or(substr(stored, length(quote) + 1) RLIKE {_lit(r'[\p{L}\p{N}]')}) AND NOT bool_or(stored = quote)
+SELECT row_id, CASE WHEN bool_or(stored = quote) THEN 'equal'
+  WHEN bool_or(startswith(stored, quote) AND substr(stored, length(quote) + 1) RLIKE {_lit(r'[\p{L}\p{N}]')}) THEN 'more' END AS quoted
+FROM j GROUP BY row_id, quote
+"""
+
+# claims without a sentence mark against the reply that they were taken from
+_SOURCES = f"""
+WITH c AS (SELECT row_id, record_id, source_start, source_end, {_bare('text')} AS t FROM $values JOIN (SELECT claim_key, text FROM $claims) ON row_id = claim_key
+  WHERE field_name = 'claim_text' AND NOT marked),
+j AS (SELECT row_id, t, source_start, source_end, raw_generation AS whole, {_bare('raw_generation')} AS reply FROM c JOIN (SELECT record_id, raw_generation FROM $records) USING (record_id) WHERE t <> ''),
+k AS (SELECT row_id, t, endswith(reply, t) AS at_end, substr(whole, source_start + 1, source_end - source_start) AS span,
+  if(source_start IS NULL OR source_end IS NULL, substr(whole, nullif(instr(whole, t), 0) + length(t), 3), NULL) AS next FROM j)
+SELECT row_id, at_end, CASE
+  WHEN startswith(span, t) THEN if(substr(span, length(t) + 1) RLIKE {_lit(r'[\p{L}\p{N}]')}, 'more', 'same')
+  WHEN next RLIKE {_lit(r'^[\p{L}\p{N}]|^ \p{Ll}(?!\p{Lu})')} THEN 'more' END AS source
+FROM k
+"""
+
+_EVIDENCE = f"""
+WITH j AS (SELECT v.*, e.ec, e.not_terminal, e.unknown_word AND in_letters AND (NOT is_cite OR body RLIKE {_lit(_PLAIN_WORD)}) AS mid_word,
+    c.size IS NOT NULL OR b.size IS NOT NULL OR k.size IS NOT NULL AS full, quoted, source, at_end
+  FROM $values v LEFT JOIN $ends e ON v.field_name = e.field_name AND v.row_id = e.row_id
+  LEFT JOIN $quotes q ON v.field_name = 'raw_generation' AND v.row_id = q.row_id LEFT JOIN $sources s ON v.field_name = 'claim_text' AND v.row_id = s.row_id
+  LEFT JOIN (SELECT * FROM $limits WHERE unit = 'chars') c ON v.field_name = c.field_name AND v.backend <=> c.backend AND t_chars = c.size
+  LEFT JOIN (SELECT * FROM $limits WHERE unit = 'bytes') b ON v.field_name = b.field_name AND v.backend <=> b.backend AND t_bytes = b.size
+  LEFT JOIN (SELECT * FROM $limits WHERE unit = 'tokens') k ON v.field_name = k.field_name AND v.backend <=> k.backend AND t_tokens = k.size)
+SELECT field_name, row_id, record_id, backend, at_end, CASE
+  WHEN broken THEN 'broken_character' WHEN n_chars < {LEAST_CHARS} THEN NULL WHEN open_structure THEN 'open_structure'
+  WHEN quoted = 'more' THEN 'quote' WHEN quoted = 'equal' THEN NULL
+  WHEN body IS NULL OR ec = '' THEN NULL
+  WHEN source = 'same' AND NOT at_end THEN NULL
+  WHEN full THEN 'at_limit' WHEN mid_word THEN 'mid_word'
+  WHEN NOT is_cite AND not_terminal THEN 'trigram' WHEN source = 'more' THEN 'source' END AS evidence
+FROM j
 """
 
 
@@ -151,72 +222,32 @@ def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
 
     An empty, blank or very short value has no end to lack: it isn't truncated.
     Marks of omission put after a text are looked through; a text that ends with
-    a sentence mark is whole. Without ``claim_texts`` only replies are judged;
-    the counts are over all claim texts either way.
+    a sentence mark is whole. A claim that ends where its cut reply does is cut
+    like that. Without ``claim_texts`` only replies are judged; the counts are
+    over all claim texts either way.
     """
-    records = once(table(spark, d, "query_records").select("record_id", "backend", "raw_generation"), "record_id")
-    claims = once(table(spark, d, "claims").select("claim_key", "record_id", "text"), "claim_key")
-    units = query(spark, _UNITS, records=records, claims=claims if claim_texts else claims.where("false"))
-    raw = spool(query(spark, _COUNTS, claims=claims), "trigrams")
-    frequent = spool(query(spark, "WITH n AS (SELECT c, sum(inner_n + end_n) AS n FROM $raw GROUP BY c) SELECT c AS w FROM n WHERE n >= 5 AND n >= (SELECT sum(n) FROM n) * " + str(SHARE), raw=raw), "frequent")
-    known = query(spark, _WORDS, records=records)
-    # each context word becomes ~ when rare; so does the last one
-    counts = spool(query(
-        spark,
-        """SELECT coalesce(x.w, if(a = '^', '^', '~')) AS a, coalesce(y.w, if(b = '^', '^', '~')) AS b, coalesce(z.w, '~') AS c,
-          if(z.w IS NULL, right(c, 3), NULL) AS tail, sum(inner_n) AS inner_n, sum(end_n) AS end_n
-        FROM $raw LEFT JOIN $f x ON a = x.w LEFT JOIN $f y ON b = y.w LEFT JOIN $f z ON c = z.w GROUP BY 1, 2, 3, 4""",
-        raw=raw,
-        f=frequent,
-    ), "counts")
-    ends = query(
+    records = once(table(spark, d, "query_records").select("record_id", "backend", "completion_tokens", "raw_generation"), "record_id")
+    claims = once(table(spark, d, "claims").select("claim_key", "record_id", "text", "source_start", "source_end"), "claim_key")
+    values = spool(query(spark, _VALUES, records=records, claims=claims if claim_texts else claims.where("false")), "values")
+    words = spool(query(spark, _WORDS, records=records), "words")
+    counts = spool(query(spark, _COUNTS, words=words, claims=claims), "counts")
+    judged_so = query(
         spark,
-        f"""WITH t AS (SELECT *, {_tokens("body")} AS w FROM $units),
-        e AS (SELECT * EXCEPT (w), coalesce(get(w, size(w) - 3), '^') AS ea, coalesce(get(w, size(w) - 2), '^') AS eb, coalesce(get(w, size(w) - 1), '') AS ec,
-          body RLIKE {_lit(_MARKED)} AND NOT dotted AS marked, body RLIKE {_lit(_LETTER_END)} AS in_letters FROM t)
-        SELECT e.*, coalesce(x.w, if(ea = '^', '^', '~')) AS a, coalesce(y.w, if(eb = '^', '^', '~')) AS b, coalesce(z.w, '~') AS c, right(ec, 3) AS tail
-        FROM e LEFT JOIN $f x ON ea = x.w LEFT JOIN $f y ON eb = y.w LEFT JOIN $f z ON ec = z.w""",
-        units=units,
-        f=frequent,
+        _EVIDENCE,
+        values=values,
+        ends=query(spark, _ENDS, values=values, words=words, counts=counts),
+        quotes=query(spark, _QUOTES, values=values, cites=table(spark, d, "claims").select("record_id", "citations")),
+        sources=query(spark, _SOURCES, values=values, claims=claims, records=records),
+        limits=spool(query(spark, _LIMITS, values=values), "limits"),
     )
-    seen = spool(query(
-        spark,
-        """WITH t3 AS (SELECT a, b, c, sum(inner_n) AS i3, sum(end_n) AS e3 FROM $counts GROUP BY 1, 2, 3),
-        t2 AS (SELECT b, c, sum(i3) AS i2, sum(e3) AS e2 FROM t3 GROUP BY 1, 2),
-        t1 AS (SELECT c, sum(i2) AS i1, sum(e2) AS e1 FROM t2 GROUP BY 1),
-        s AS (SELECT tail, sum(inner_n + end_n) AS s_n FROM $counts WHERE tail IS NOT NULL GROUP BY 1),
-        st AS (SELECT sum(s_n) AS s_all FROM s)
-        SELECT e.field_name, e.row_id, e.backend, e.n_chars, e.t_chars, e.t_bytes, e.t_hash, e.is_json, e.broken, e.is_cite, e.cited, e.open_structure, e.ec, e.c, e.marked, e.in_letters, e.body,
-          coalesce(i3, 0) AS i3, coalesce(e3, 0) AS e3, coalesce(i2, 0) AS i2, coalesce(e2, 0) AS e2, coalesce(i1, 0) AS i1, coalesce(e1, 0) AS e1, coalesce(s_n, 0) AS s_n, s_all, word_n IS NOT NULL AS known
-        FROM $ends e LEFT JOIN t3 ON e.a = t3.a AND e.b = t3.b AND e.c = t3.c LEFT JOIN t2 ON e.b = t2.b AND e.c = t2.c
-        LEFT JOIN t1 ON e.c = t1.c LEFT JOIN s ON e.tail = s.tail LEFT JOIN $known kn ON e.ec = kn.word CROSS JOIN st""",
-        counts=counts,
-        ends=ends,
-        known=known,
-    ), "ends")
-    return query(
-        spark,
-        f"""WITH j AS (SELECT seen.*, c.size IS NOT NULL OR b.size IS NOT NULL AS full FROM $seen seen
-          LEFT JOIN (SELECT * FROM $limits WHERE unit = 'chars') c ON seen.field_name = c.field_name AND seen.backend <=> c.backend AND t_chars = c.size
-          LEFT JOIN (SELECT * FROM $limits WHERE unit = 'bytes') b ON seen.field_name = b.field_name AND seen.backend <=> b.backend AND t_bytes = b.size),
-        k AS (SELECT *,
-          c = '~' AND in_letters AND ec RLIKE '^[a-zß-ÿа-я’-]+$' AND s_n < greatest(3, s_all * 0.0008) AND NOT known AND (NOT is_cite OR body RLIKE {_lit(_PLAIN_WORD)}) AS mid_word,
-          CASE WHEN i3 + e3 >= {SEEN} THEN e3 < {TERMINAL} * (i3 + e3) WHEN i2 + e2 >= {SEEN} THEN e2 < {TERMINAL} * (i2 + e2)
-               WHEN c <> '~' AND i1 + e1 >= {SEEN} THEN e1 < {TERMINAL_WORD} * (i1 + e1) ELSE false END AS not_terminal
-          FROM j)
-        SELECT field_name, row_id, backend, CASE
-          WHEN broken THEN 'broken_character' WHEN n_chars < {LEAST_CHARS} THEN NULL WHEN ec = '' AND NOT open_structure THEN NULL
-          WHEN open_structure THEN 'open_structure'
-          WHEN cut_id IS NOT NULL THEN 'quote'
-          WHEN is_json OR body RLIKE '^<[^>]*>' THEN NULL
-          WHEN marked THEN NULL
-          WHEN full THEN 'at_limit' WHEN mid_word THEN 'mid_word'
-          WHEN is_cite THEN NULL WHEN not_terminal THEN 'trigram' END AS evidence
-        FROM k LEFT JOIN $cut_quotes ON field_name = 'raw_generation' AND row_id = cut_id""",
-        seen=seen,
-        cut_quotes=query(spark, _CUT_QUOTES, seen=seen, cites=table(spark, d, "claims").select("record_id", "citations")),
-        limits=spool(query(spark, _LIMITS, seen=seen), "limits"),
-    ).selectExpr("field_name", "row_id", "backend", "evidence IS NOT NULL AS truncated", "evidence")
+    if claim_texts:
+        judged_so = query(
+            spark,
+            """SELECT v.field_name, v.row_id, v.backend, coalesce(v.evidence, if(at_end AND r.row_id IS NOT NULL, 'reply', NULL)) AS evidence
+            FROM $v v LEFT JOIN (SELECT row_id FROM $v WHERE field_name = 'raw_generation' AND evidence IS NOT NULL) r ON v.field_name = 'claim_text' AND v.record_id = r.row_id""",
+            v=spool(judged_so, "evidence"),
+        )
+    return judged_so.selectExpr("field_name", "row_id", "backend", "evidence IS NOT NULL AS truncated", "evidence")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
