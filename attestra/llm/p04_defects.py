@@ -1,14 +1,15 @@
 """Problem 4: question and reply pairs that fail, with the kind of defect.
 
-For every kind several labelling functions vote, each of them noisy: patterns,
-lengths, overlap with the question, languages, and the errors that parsing
-left. A label model per kind turns the votes into a posterior; kinds whose
-posterior exceeds the cutoff are kept, so that one reply may have several.
+For every kind several labelling functions vote, each of them noisy: families of
+wording, lengths, overlap with the question, languages and scripts, ends of
+texts, and the errors that parsing left. A label model per kind learns from all
+votes how far each function can be trusted and turns them into a posterior;
+kinds whose posterior reaches the cutoff are kept, so that one reply may have
+several, and where one is wanted the highest posterior wins.
 """
 
 from __future__ import annotations
 
-
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,15 +23,13 @@ from ..plans.durable import spool
 from ..sources.tables import once, table
 from . import labelmodel, p06_truncated
 
-#: Rows that the starting accuracies count as in the label model.
-STRENGTH = 300.0
-#: Characters of statements from which a reply is no mere repetition of a short question.
-LONG = 1500
+#: Rows that the starting accuracies count as in the label model; few, so that the votes decide.
+STRENGTH = 40.0
 #: Share of a reply's sentences and lines above which those that decline are the reply, not a remark in a longer one.
 DECLINE = 0.5
 #: The order in which kinds with equal posteriors win, where one label is wanted.
 KINDS = ("empty", "copied_question", "refusal", "wrong_language", "truncated")
-#: Posterior from which a kind is kept, chosen by precision on hand-checked replies.
+#: Posterior from which a kind is kept; ``tests/llm/test_defects.py`` validates them on planted defects.
 CUTOFF = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copied_question": 0.5, "wrong_language": 0.5}
 
 # Function words that tell the languages of questions and replies apart.
@@ -45,28 +44,24 @@ WORDS = {
 # Function words that two of these languages share.
 SHARED = {"en": "in a an as no", "de": "in so am", "fr": "de la en un que se a", "es": "de la en un que se a durante"}
 
-# Ways of declining to answer.
-DECLINES = (
-    # English
-    r"\b(?:i|we)(?:'m| am|'re| are)? ?(?:sorry|afraid|unable|not able|cannot|can ?not|can't|can’t|could not|couldn't|must (?:decline|refrain)|have to (?:decline|refuse)|won't|won’t|will not|would not|wouldn't|do not|don't|don’t|decline|refuse|am not in a position)\b",
-    r"\b(?:i'd|i’d|i would|we'd|we would) rather not\b",
-    r"\b(?:sorry|apologies|regrettably|unfortunately)\b",
-    r"\b(?:isn't|isn’t|is not|not) possible for (?:me|us)\b|\bno (?:verdict|answer|conclusion|judgement) is possible\b",
-    r"\b(?:falls|is|lies) outside (?:my|our|what)\b|\boutside (?:my|our) (?:remit|scope)\b|\bwhat i may do\b|\bmy (?:guidelines|instructions|rules)\b",
-    r"\b(?:passages|excerpts|context|sources|documents|evidence)\b.{0,30}\b(?:not allow|silent|not contain|don't|do not|does not|insufficient|not enough)\b|\bnone of the (?:excerpts|passages)\b|\bcannot be told from\b",
-    r"\bonly a \w+ should answer\b|\bneed to ask a\b|\bnothing useful can be said\b|\bno basis (?:here )?for\b|\bleave it open\b|\bas a careful assistant\b|\bthis request\b|\bas an? (?:ai|language model)\b",
-    # German
-    r"\b(?:leider|entschuldigung|es tut mir leid)\b|\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte|muss)\b|\bkann ich\b|\bdarf ich\b|\berlauben keine antwort\b|\bkeine (?:auskunft|antwort|aussage)\b",
-    # French
-    r"\b(?:désolée?|malheureusement)\b|\bje (?:ne|n'|n’|regrette|préfère)|\bne permettent pas\b|\bpas en mesure\b",
-    # Spanish
-    r"\b(?:lo siento|por desgracia|lamentablemente|desafortunadamente)\b|\bno (?:puedo|podemos|me es posible|permiten|es posible)\b",
-    # Chinese, Japanese
-    r"抱歉|很遗憾|对不起|无法(?:回答|判断|作答|提供)|不能(?:提供|回答)|不足以|申し訳|お答えできません|答えられません",
+# The speaker, words of inability, regret, what answers are drawn from, and what is asked for.
+_SPEAKER = r"\b(?:i|we|me|us|my|our|i'm|i’m|i'd|i’d)\b"
+_UNABLE = r"\b(?:not|cannot|can't|can’t|won't|won’t|don't|don’t|couldn't|couldn’t|wouldn't|wouldn’t|isn't|isn’t|unable|decline|refuse|refrain|rather|outside|afraid|keeps?|prevents?)\b"
+_REGRET = r"\b(?:sorry|apologies|regrettably|unfortunately|leider|entschuldigung|tut mir leid|désolée?|malheureusement|lo siento|por desgracia|lamentablemente|desafortunadamente)\b|抱歉|很遗憾|对不起|申し訳"
+_GIVEN = r"\b(?:passages|excerpts|context|sources|documents|evidence|quellen|auszüge|textstellen|extraits|passages|pasajes|extractos|fuentes)\b"
+_LACKING = r"\b(?:not|none|silent|no|insufficient|cannot|don't|don’t|doesn't|doesn’t|keine?|nicht|ne|pas|no)\b"
+_ASKED = r"\b(?:answer|answered|answering|verdict|conclusion|judge|said|assess|assessment|basis|question|request|topic|matter|rephrase|respond|comment|ask)\b"
+_DEFER = r"\b(?:nothing|no|only an? \w+ should|please ask|could you|need to ask|as an? (?:ai|careful|language)\b.{0,20}\b(?:assistant|model))\b"
+
+# The same in languages whose verbs hold the speaker.
+_OTHERS = (
+    r"\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte|muss)\b|\b(?:kann|darf) ich\b|\bkeine (?:auskunft|antwort|aussage)\b",
+    r"\bje (?:ne|n'|n’|regrette|préfère)|\bne permettent pas\b|\bpas en mesure\b",
+    r"\bno (?:puedo|podemos|me es posible|permiten|es posible)\b",
+    r"无法(?:回答|判断|作答|提供)|不能(?:提供|回答)|不足以|お答えできません|答えられません",
 )
 
-_LEAD = r"(?i)^[\s>*#\"“-]*(?:(?:you asked|question|q|frage|pregunta|la question|vous demandez|sie fragen|usted pregunta|您问|问题|問題|質問)\s*[:：.]?\s+|[>]\s*)?"
-_SENTENCE = r"(?<=[.!?])\s+|(?<=[。！？।؟])|\n"
+_LEADS = re.compile(r"^[\s>*#\"“-]*(?:(?:you asked|question|q|frage|pregunta|la question|vous demandez|sie fragen|usted pregunta|您问|问题|問題|質問)\s*[:：.]?\s+|[>]\s*)?")
 _BLANKS = ("", "null", "na", "none", "nil", "answer", "answeranswer", "noanswer", "empty", "undefined", "decision", "claim1", "decisionclaim1", "text", "todo", "tbd")
 
 
@@ -78,25 +73,30 @@ def body(raw: Column) -> Column:
     return F.when(raw.rlike(r"^\s*(?:```\w*\s*)?[\{\[]"), F.coalesce(F.nullif(texts, F.lit("")), bare)).otherwise(lines)
 
 
-def _norm(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\p{M}]+", "")
-
-
+_LATIN, _OTHER = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[Ͱ-῿぀-鿿가-힯]")
 LANGS = (*WORDS, "ja", "zh", "ar", "th", "hi")
 _OWN = {k: frozenset(v.split()) for k, v in WORDS.items()}
 _ALSO = {k: frozenset(v.split()) for k, v in SHARED.items()}
+#: Languages that a word is of, and those that share it.
+_TOLD = {w: ([k for k in _OWN if w in _OWN[k]], [k for k in _ALSO if w in _ALSO[k]]) for w in frozenset().union(*_OWN.values(), *_ALSO.values())}
 _WORD = re.compile(r"[^\W\d_]+")
 _SCRIPTS = (("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[一-鿿]")), ("ar", re.compile(r"[؀-ۿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")))
 
 
-def language_scores(text: str) -> dict[str, tuple[float, float]]:
-    """Per language (words of its own, all its words) in a text; scripts of their own score by characters."""
+def language_scores(text: str, words: Counter | None = None) -> dict[str, tuple[float, float]]:
+    """Per language (words of its own, all its words) in a text of small letters; scripts of their own score by characters."""
     out = dict.fromkeys(LANGS, (0.0, 0.0))
-    words = Counter(_WORD.findall(text.lower()))
-    for k, own in _OWN.items():
-        n = sum(words[w] for w in own)
-        out[k] = (n, 2 * n + sum(words[w] for w in _ALSO.get(k, ())))
-    if not text.isascii():
+    words = Counter(_WORD.findall(text)) if words is None else words
+    own, also = dict.fromkeys(WORDS, 0), dict.fromkeys(WORDS, 0)
+    for w in words.keys() & _TOLD.keys():
+        mine, shared = _TOLD[w]
+        for k in mine:
+            own[k] += words[w]
+        for k in shared:
+            also[k] += words[w]
+    for k, n in own.items():
+        out[k] = (n, 2 * n + also[k])
+    if not text.isascii() and _OTHER.search(text):
         seen = {k: len(p.findall(text)) for k, p in _SCRIPTS}
         if seen["ja"] >= 2:
             seen["ja"], seen["zh"] = seen["ja"] + seen["zh"], 0
@@ -108,25 +108,70 @@ def language_scores(text: str) -> dict[str, tuple[float, float]]:
     return out
 
 
-def compare_languages(df: DataFrame) -> DataFrame:
-    """(record_id, ql, bl, top, own): languages of question and statements; most words of any language, and of the question's, in the statements."""
-
-    def best(scores: dict) -> str | None:
-        k = max(scores, key=lambda x: scores[x][1])
-        return k if scores[k][1] else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, q, b in zip(pdf["record_id"], pdf["q"], pdf["b"]):
-                said = language_scores(b)
-                ql = best(language_scores(q))
-                rows.append((i, ql, best(said), max(x for x, _ in said.values()), said[ql][0] if ql else 0.0))
-            yield pd.DataFrame(rows, columns=["record_id", "ql", "bl", "top", "own"]).astype({"top": float, "own": float})
-
-    return df.select("record_id", "q", "b").mapInPandas(run, "record_id bigint, ql string, bl string, top double, own double")
-
-
+_FAMILIES = {
+    "person": (re.compile(_SPEAKER), re.compile(_UNABLE)),
+    "regret": (re.compile(_REGRET), None),
+    "given": (re.compile(_GIVEN), re.compile(_LACKING)),
+    "asked": (re.compile(_ASKED), re.compile(_DEFER)),
+    "others": (re.compile("|".join(_OTHERS)), None),
+}
+#: Words without one of which a family can't be met, so that its patterns needn't be tried.
+_NEEDS = {k: frozenset(re.findall(r"[^\W\d_]{2,}", re.sub(r"\\b|’|'", " ", x))) for k, x in {"regret": _REGRET, "given": _GIVEN, "asked": _ASKED, "others": "|".join(_OTHERS)}.items()}
+_NEEDS["person"] = frozenset(("i", "we", "me", "us", "my", "our"))
+_REPORTED = re.compile(r"\d")
+_PARTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？।؟])|\n")
+_NOT_TEXT = re.compile(r"[\W_]+")
+
+
+def _script(text: str) -> str | None:
+    """The script of most letters; characters of scripts without letters count as many."""
+    if text.isascii():
+        return "latin" if _LATIN.search(text) else None
+    other = len(_OTHER.findall(text))
+    if other == 0:
+        return "latin" if _LATIN.search(text) else None
+    return "other" if 3 * other > len(_LATIN.findall(text)) else "latin"
+
+
+def _best(scores: dict) -> str | None:
+    k = max(scores, key=lambda x: scores[x][1])
+    return k if scores[k][1] else None
+
+
+READ = ("empty_blank", "empty_short", "refusal_person", "refusal_given", "refusal_asked", "refusal_share", "refusal_short", "refusal_apart",
+        "copied_text", "copied_words", "copied_length", "language_best", "language_margin", "language_absent", "language_script")
+
+
+def read(q: str, b: str) -> tuple[int, ...]:
+    """The votes of READ on a question and a reply's own statements, which are read whole."""
+    low, asks = b.lower(), q.lower()
+    nb, nq = _NOT_TEXT.sub("", _LEADS.sub("", low)), _NOT_TEXT.sub("", asks)
+    words, sought = Counter(_WORD.findall(low)), set(_WORD.findall(asks))
+    shared = sum(w in words for w in sought)
+    seen = dict.fromkeys(_FAMILIES, 0)
+    tried = {k: f for k, f in _FAMILIES.items() if not _NEEDS[k].isdisjoint(words) or (k in ("regret", "others") and _OTHER.search(low))}
+    declining = parts = 0
+    for part in _PARTS.split(low):
+        if not _WORD.search(part):
+            continue
+        parts += 1
+        hit = {k: bool(x.search(part)) and (y is None or bool(y.search(part))) for k, (x, y) in tried.items()} if tried and not _REPORTED.search(part) else {}
+        declining += any(hit.values())
+        for k, h in hit.items():
+            seen[k] += h
+    said, ql = language_scores(low, words), _best(language_scores(asks))
+    bl = _best(said)
+    other = ql is not None and bl is not None and ql != bl
+    own, top = said[ql][0] if ql else 0, max(x for x, _ in said.values())
+    sq, sb = _script(q), _script(b)
+    return (
+        nb in _BLANKS, len(nb) < 4,
+        seen["person"] + seen["regret"] + seen["others"] > 0, seen["given"] > 0, seen["asked"] > 0,
+        parts > 0 and declining > DECLINE * parts, 3 < len(nb) < 260 and not _REPORTED.search(b), parts > 0 and shared <= 0.5 * len(sought),
+        len(nq) > 10 and len(nb) > 5 and nq in nb and len(nb.replace(nq, "")) <= 30,
+        len(sought) > 1 and shared >= 0.85 * len(sought) and len(words) <= 1.25 * len(sought) + 2, 0.8 * len(nq) <= len(nb) <= 1.4 * len(nq) + 5,
+        other, other and top >= 1 and top > 2.5 * own, other and own == 0, sq is not None and sb is not None and sq != sb,
+    )
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
@@ -134,68 +179,63 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
     rec = once(table(spark, d, "query_records").select("record_id", "question", "raw_generation"), "record_id")
     err = table(spark, d, "decompositions").groupBy("record_id").agg(F.array_join(F.flatten(F.collect_set("errors")), "\n").alias("err"))
     cut = p06_truncated.judged(spark, d, claim_texts=False).where("truncated").select(F.col("row_id").alias("record_id"), F.lit(1).alias("cut"))
-    raw = F.coalesce("raw_generation", F.lit(""))
-    x = rec.join(err, "record_id", "left").join(cut, "record_id", "left")
-    x = x.select("record_id", F.coalesce("question", F.lit("")).alias("q"), raw.alias("raw"), F.coalesce("err", F.lit("")).alias("err"), F.coalesce("cut", F.lit(0)).alias("cut"), body(raw).alias("b"))
-    x = x.withColumns({"nb": _norm(F.regexp_replace(F.col("b"), _LEAD, "")), "nq": _norm(F.col("q")), "lb": F.lower(F.col("b"))})
-    x = spool(x, "statements")
-    x = x.join(compare_languages(x), "record_id")
-    size, asked = F.char_length("nb"), F.char_length("nq")
-    # a whole reply that gives the question back isn't long; longer ones are spared the comparison of words
-    brief = F.char_length("b") < 3 * F.char_length("q") + LONG
-    words_b, words_q = (F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")) for c in (F.when(brief, F.col("b")).otherwise(F.lit("")), F.col("q")))
-    shared = F.size(F.array_intersect(words_b, words_q))
-    no_figures = ~F.col("b").rlike(r"\d")
-    phrase = "(?is)" + "|".join(f"(?:{p})" for p in DECLINES)
-    declines = F.col("lb").rlike(phrase)
-    said = F.filter(F.split("lb", _SENTENCE), lambda p: p.rlike(r"[\p{L}\p{N}]"))
-    mostly = F.when(declines, F.size(F.filter(said, lambda p: p.rlike(phrase))) > DECLINE * F.size(said))
-    known = F.col("ql").isNotNull() & F.col("bl").isNotNull()
-    lf = {
-        "empty_blank": F.col("nb").isin(*_BLANKS),
-        "empty_short": size < 4,
-        "empty_errors": F.col("err").rlike("nothing to decompose|no claim line|body missing"),
-        "truncated_end": F.col("cut") == 1,
-        "truncated_errors": F.col("err").rlike("ends without text|unterminated|body missing"),
-        "truncated_open": ~F.right(F.col("raw"), F.lit(40)).rlike(r"[.!?。！？।؟\]\}][\"'”’»)]*\s*$"),
-        "refusal_phrase": declines,
-        "refusal_share": mostly,
-        "refusal_short": (size > 3) & (size < 260) & no_figures,
-        "refusal_bare": ~F.col("raw").rlike(r"CITE\s*\d*\s*:|passage_id"),
-        "refusal_errors": F.col("err").rlike("no claim line|nothing to decompose"),
-        "copied_text": brief & (asked > 10) & (size > 5) & F.contains(F.col("nb"), F.col("nq")) & (F.char_length(F.replace(F.col("nb"), F.col("nq"), F.lit(""))) <= 30),
-        "copied_words": brief & (F.size(words_q) > 1) & (shared >= 0.85 * F.size(words_q)) & (F.size(words_b) <= F.size(words_q) * 1.25 + 2),
-        "copied_length": (size >= 0.8 * asked) & (size <= 1.4 * asked + 5),
-        "language_best": known & (F.col("ql") != F.col("bl")),
-        "language_margin": known & (F.col("ql") != F.col("bl")) & (F.col("top") >= 1) & (F.col("top") > 2.5 * F.col("own")),
-        "language_absent": known & (F.col("own") == 0) & (F.col("ql") != F.col("bl")),
-    }
-    return x.select("record_id", *[F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in lf.items()])
+    raw, e = F.coalesce("raw_generation", F.lit("")), F.coalesce("err", F.lit(""))
+    x = rec.join(err, "record_id", "left").join(cut, "record_id", "left").select(
+        "record_id", F.coalesce("question", F.lit("")).alias("q"), body(raw).alias("b"),
+        e.rlike("nothing to decompose|no claim line|body missing").alias("empty_errors"),
+        F.coalesce("cut", F.lit(0)).alias("truncated_end"),
+        e.rlike("ends without text|unterminated").alias("truncated_errors"),
+        (~F.expr(p06_truncated._bare("coalesce(raw_generation, '')")).rlike(r"[.!?。！？।؟\]\}][\"'”’»)]*$")).alias("truncated_open"),
+        (~(F.contains(raw, F.lit("CITE")) | F.contains(raw, F.lit("passage_id")))).alias("refusal_bare"),
+        e.rlike("no claim line|nothing to decompose").alias("refusal_errors"),
+    )
+    given = [c for c in x.columns if c not in ("record_id", "q", "b")]
+    x = x.select("record_id", "q", "b", *[F.col(c).cast("int").alias(c) for c in given])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pd.DataFrame([read(q, b) for q, b in zip(pdf["q"], pdf["b"])], columns=list(READ)).astype("int32")
+            yield pd.concat([pdf[["record_id", *given]], out], axis=1)
+
+    return x.mapInPandas(run, "record_id bigint, " + ", ".join(f"{c} int" for c in (*given, *READ)))
 
 
 # Per kind its functions with their starting chances of a vote with and without the defect.
 FUNCTIONS = {
-    "empty": {"empty_blank": (0.98, 0.0005), "empty_short": (0.95, 0.003), "empty_errors": (0.5, 0.03)},
-    "truncated": {"truncated_end": (0.95, 0.0005), "truncated_errors": (0.4, 0.02), "truncated_open": (0.85, 0.4)},
-    "refusal": {"refusal_phrase": (0.97, 0.002), "refusal_share": (0.8, 0.002), "refusal_short": (0.97, 0.05), "refusal_bare": (0.85, 0.35), "refusal_errors": (0.3, 0.02)},
-    "copied_question": {"copied_text": (0.95, 0.0005), "copied_words": (0.95, 0.001), "copied_length": (0.95, 0.03)},
-    "wrong_language": {"language_best": (0.98, 0.003), "language_margin": (0.95, 0.001), "language_absent": (0.85, 0.002)},
+    "empty": {"empty_blank": (0.9, 0.001), "empty_short": (0.9, 0.003), "empty_errors": (0.5, 0.03)},
+    "truncated": {"truncated_end": (0.95, 0.0005), "truncated_errors": (0.4, 0.002), "truncated_open": (0.85, 0.4)},
+    "refusal": {
+        "refusal_person": (0.6, 0.01), "refusal_given": (0.3, 0.02), "refusal_asked": (0.5, 0.02), "refusal_share": (0.9, 0.002), "refusal_short": (0.97, 0.05),
+        "refusal_apart": (0.9, 0.3), "refusal_bare": (0.85, 0.35), "refusal_errors": (0.3, 0.02),
+    },
+    "copied_question": {"copied_text": (0.9, 0.001), "copied_words": (0.9, 0.002), "copied_length": (0.9, 0.03)},
+    "wrong_language": {"language_best": (0.95, 0.005), "language_margin": (0.9, 0.002), "language_absent": (0.8, 0.005), "language_script": (0.4, 0.003)},
 }
 
 
+def models(v: DataFrame) -> dict[str, labelmodel.Model]:
+    """A fitted label model per kind. One pass counts the patterns of votes of all kinds, at most 2**functions of each, for the driver to fit."""
+    mask = lambda names: sum((F.col(c) * F.lit(1 << i) for i, c in enumerate(names)), F.lit(0))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), mask(f).alias("mask")) for k, f in FUNCTIONS.items()]))
+    rows = v.select(each.alias("x")).groupBy("x.kind", "x.mask").count().collect()
+    out = {}
+    for kind, functions in FUNCTIONS.items():
+        seen = [(r["mask"], r["count"]) for r in rows if r["kind"] == kind]
+        bits = np.array([[m >> i & 1 for i in range(len(functions))] for m, _ in seen], dtype=float).reshape(-1, len(functions))
+        out[kind] = labelmodel.fit(bits, np.array([n for _, n in seen], dtype=float), [a for a, _ in functions.values()], [b for _, b in functions.values()], strength=STRENGTH)
+    return out
+
+
 def posteriors(v: DataFrame) -> DataFrame:
-    """(record_id, one posterior per kind). The patterns of votes, at most 2**functions of a kind, are counted and fitted on the driver."""
-    out = v
+    """(record_id, one posterior per kind)."""
+    fitted, columns = models(v), []
     for kind, functions in FUNCTIONS.items():
-        names = list(functions)
-        rows = v.groupBy(*names).count().collect()
-        seen = np.array([[r[c] for c in names] for r in rows], dtype=float).reshape(-1, len(names))
-        model = labelmodel.fit(seen, np.array([r["count"] for r in rows], dtype=float), [a for a, _ in functions.values()], [b for _, b in functions.values()], strength=STRENGTH)
-        logit = F.lit(float(np.log(model.prior) - np.log1p(-model.prior)))
-        for c, h, f in zip(names, model.hit, model.false):
+        m = fitted[kind]
+        logit = F.lit(float(np.log(m.prior) - np.log1p(-m.prior)))
+        for c, h, f in zip(functions, m.hit, m.false):
             logit = logit + F.when(F.col(c) == 1, float(np.log(h) - np.log(f))).otherwise(float(np.log1p(-h) - np.log1p(-f)))
-        out = out.withColumn(kind, 1 / (1 + F.exp(-logit)))
-    return out.select("record_id", *FUNCTIONS)
+        columns.append((1 / (1 + F.exp(-logit))).alias(kind))
+    return v.select("record_id", *columns)
 
 
 def _posteriors(spark: SparkSession, d: str) -> DataFrame:
@@ -210,9 +250,11 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    """The defective records, each with its first kind above the cutoff in the order of KINDS."""
+    """The defective records, each with the kind of the highest posterior among those above their cutoffs; KINDS orders equal ones."""
     p = _posteriors(spark, d)
-    kind = F.coalesce(*[F.when(F.col(k) >= CUTOFF[k], F.lit(k)) for k in KINDS])
+    over = {k: F.when(F.col(k) >= CUTOFF[k], F.round(k, 6)).otherwise(F.lit(-1.0)) for k in KINDS}
+    top = F.greatest(*over.values())
+    kind = F.when(top >= 0, F.coalesce(*[F.when(over[k] == top, F.lit(k)) for k in KINDS]))
     return p.select("record_id", kind.alias("defect_type")).where("defect_type is not null")
 
 
