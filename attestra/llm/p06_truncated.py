@@ -45,7 +45,7 @@ AT_LIMIT = 5
 PILE, NEAR = 8, 2
 
 _MARKED = r"[.!?。！？।؟][\"'”’»」』)\]）]*$|[。！？।؟][\"”’»」』）]*$"
-_TOKEN = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]|[\p{L}\p{M}]+(?:[-’][\p{L}\p{M}]+)*|[0%)]"
+_TOKEN = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]|[\p{L}\p{M}]++(?:[-’][\p{L}\p{M}]++)*+|[0-9]++(?:[.,][0-9]++)*+|[%)]"
 # what may be put after a cut text: white space, dashes, half characters, dots; one dot alone is a sentence mark
 _BLANK = " \t\n\r\x0b\x0c\u0085               　"
 _TRAIL = _BLANK + "�-–—….‐"
@@ -60,12 +60,19 @@ def _lit(pattern: str) -> str:
 
 def _bare(x: str) -> str:
     """``x`` without what was put after the text, however long that is; a single dot behind the text stays."""
-    cut = f"rtrim({_lit(_TRAIL)}, regexp_replace(rtrim({_lit(_TRAIL)}, {x}), {_lit(_NOTE)}, ''))"
+    end = f"rtrim({_lit(_TRAIL)}, {x})"
+    cut = f"rtrim({_lit(_TRAIL)}, if(right({end}, 1) IN (']', ')'), regexp_replace({end}, {_lit(_NOTE)}, ''), {end}))"
     return f"concat({cut}, regexp_extract(substr({x}, length({cut}) + 1), {_lit(_ONE_DOT)}, 0))"
 
 
 def _tokens(x: str) -> str:
-    return f"regexp_extract_all(regexp_replace(lower({x}), '[0-9]+(?:[.,][0-9]+)*', '0'), {_lit(_TOKEN)}, 0)"
+    """Words, characters of scripts without blanks, figures and two marks."""
+    return f"regexp_extract_all(lower({x}), {_lit(_TOKEN)}, 0)"
+
+
+def _word(w: str) -> str:
+    """A token, all figures as one."""
+    return f"if({w} >= '0' AND {w} < ':', '0', {w})"
 
 
 _JSON = r"^\s*(?:```\w*\s*)?[\{\[]"
@@ -114,26 +121,27 @@ SELECT * EXCEPT (body), if(marked OR is_json OR body RLIKE {_lit(_TAG)}, NULL, b
 _WORDS = f"""
 WITH toks AS (SELECT {_tokens('line')} AS w FROM (SELECT explode(split(raw_generation, '\n')) AS line FROM $records WHERE raw_generation IS NOT NULL)),
 words AS (SELECT explode(slice(w, 1, size(w) - 1)) AS word FROM toks WHERE size(w) > 1)
-SELECT word, count(*) AS word_n FROM words GROUP BY word HAVING count(*) >= {KNOWN}
+SELECT {_word('word')} AS word, count(*) AS word_n FROM words GROUP BY 1 HAVING count(*) >= {KNOWN}
 """
 
 # words are mapped before trigrams are grouped, so that only frequent ones are shuffled
 _COUNTS = f"""
 WITH f AS (SELECT word FROM $words WHERE word_n >= {SUPPORT}),
 toks AS (SELECT {_tokens("text")} AS w, text RLIKE {_lit(_MARKED)} AND NOT endswith(text, '..') AS marked FROM $claims WHERE text IS NOT NULL),
-g AS (
-  SELECT explode(transform(sequence(1, size(w)), k -> struct(
-    if(k > 2, w[k - 3], '^') AS a, if(k > 1, w[k - 2], '^') AS b, w[k - 1] AS c, k = size(w) AS last))) AS g, marked
-  FROM toks WHERE size(w) > 0)
-SELECT coalesce(x.word, if(g.a = '^', '^', '~')) AS a, coalesce(y.word, if(g.b = '^', '^', '~')) AS b, coalesce(z.word, '~') AS c,
-  if(z.word IS NULL, right(g.c, 3), NULL) AS tail, count_if(NOT g.last) AS inner_n, count_if(g.last AND marked) AS end_n
-FROM g LEFT JOIN f x ON g.a = x.word LEFT JOIN f y ON g.b = y.word LEFT JOIN f z ON g.c = z.word GROUP BY 1, 2, 3, 4
+e AS (
+  SELECT posexplode(arrays_zip(a, b, w)) AS (k, t), size(w) AS n, marked
+  FROM (SELECT *, slice(concat(array('^', '^'), w), 1, size(w)) AS a, slice(concat(array('^'), w), 1, size(w)) AS b FROM toks WHERE size(w) > 0)),
+g AS (SELECT {_word('t.a')} AS a, {_word('t.b')} AS b, {_word('t.w')} AS c, k = n - 1 AS last, marked FROM e)
+SELECT coalesce(x.word, if(a = '^', '^', '~')) AS a, coalesce(y.word, if(b = '^', '^', '~')) AS b, coalesce(z.word, '~') AS c,
+  if(z.word IS NULL, right(c, 3), NULL) AS tail, count_if(NOT last) AS inner_n, count_if(last AND marked) AS end_n
+FROM g LEFT JOIN f x ON a = x.word LEFT JOIN f y ON b = y.word LEFT JOIN f z ON c = z.word GROUP BY 1, 2, 3, 4
 """
 
 # only values without a sentence mark are looked up
 _ENDS = f"""
 WITH w AS (SELECT field_name, row_id, {_tokens("body")} AS w FROM $values WHERE body IS NOT NULL),
-e AS (SELECT field_name, row_id, coalesce(get(w, size(w) - 3), '^') AS ea, coalesce(get(w, size(w) - 2), '^') AS eb, coalesce(get(w, size(w) - 1), '') AS ec FROM w),
+l AS (SELECT field_name, row_id, coalesce(get(w, size(w) - 3), '^') AS ea, coalesce(get(w, size(w) - 2), '^') AS eb, coalesce(get(w, size(w) - 1), '') AS ec FROM w),
+e AS (SELECT field_name, row_id, {_word('ea')} AS ea, {_word('eb')} AS eb, {_word('ec')} AS ec FROM l),
 f AS (SELECT word FROM $words WHERE word_n >= {SUPPORT}),
 m AS (SELECT e.field_name, e.row_id, e.ec, coalesce(x.word, if(ea = '^', '^', '~')) AS a, coalesce(y.word, if(eb = '^', '^', '~')) AS b,
     if(z.word_n >= {SUPPORT}, z.word, '~') AS c, right(ec, 3) AS tail, z.word IS NOT NULL AS known
