@@ -56,18 +56,15 @@ def valleys(text: str, gaps: list[int]) -> list[float]:
         for x in bags[g : g + BLOCK]:
             right.update(x)
         sims.append(_cosine(left, right))
-    depths = []
-    for i, s in enumerate(sims):
-        peak_l, j = s, i
-        while j > 0 and sims[j - 1] >= peak_l:
-            j -= 1
-            peak_l = sims[j]
-        peak_r, j = s, i
-        while j < len(sims) - 1 and sims[j + 1] >= peak_r:
-            j += 1
-            peak_r = sims[j]
-        depths.append(peak_l + peak_r - 2 * s)
-    return depths
+    # the peak on each side is that of the neighbour as long as similarity doesn't fall towards it
+    left_peak, right_peak = list(sims), list(sims)
+    for i in range(1, len(sims)):
+        if sims[i - 1] >= sims[i]:
+            left_peak[i] = left_peak[i - 1]
+    for i in range(len(sims) - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            right_peak[i] = right_peak[i + 1]
+    return [x + y - 2 * z for x, y, z in zip(left_peak, right_peak, sims)]
 
 
 def longest_stretch(text: str) -> int:
@@ -130,9 +127,11 @@ def pieces(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     limit below one have no pieces; a null overlap is none, a null char_start
     leaves the absolute offsets null. Repeated chunk_ids count once.
     """
-    src = once(chunks.select("chunk_id", "text", "char_start", "config_id"), "chunk_id")
+    src = chunks.select("chunk_id", "text", "char_start", "config_id")
     conf = configs.select("config_id", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars")).where("max_chars >= 1").dropDuplicates(["config_id"])
-    big = src.join(conf, "config_id").where(F.char_length("text") > F.col("max_chars")).select("chunk_id", "text", "char_start", "max_chars", "overlap_chars")
+    big = src.join(conf, "config_id").where(F.char_length("text") > F.col("max_chars"))
+    # redelivered rows are equal, so only oversized texts need be compared
+    big = once(big.select("chunk_id", "text", "char_start", "max_chars", "overlap_chars"), "chunk_id")
     schema = "chunk_id bigint, piece_index int, piece_start int, piece_end int, char_start bigint, char_end bigint, boundary string, cut_kind string, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
