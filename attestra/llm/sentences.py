@@ -37,11 +37,14 @@ _SEED = frozenset(w for ws in SEED.values() for w in ws.split())
 _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
 _CLOSE = set(_OPEN.values()) | {"”"}
 _EVENT = re.compile(r"[.!?…。！？।؟\"“”„«»「」『』()（）\[\]]")
+_EDGES = "\"“”„«»「」『』()（）[],;:"
 _BEFORE = re.compile(r"[^\s\"“”„«»「」『』()（）\[\],;:]+$")
+_NAME = re.compile(r"(?<=[a-zß-öø-ÿа-яё,] )[A-ZÀ-ÞА-Я][^\W\d_]++(?!\.)")
+_PLAIN = re.compile(r"\b[a-zß-öø-ÿа-яё][^\W\d_]+")
 _SOFT = re.compile(r"\.(?=,|\s+[a-zß-öø-ÿа-яё](?![A-Z]))")
 _THAI = re.compile(r"[฀-๿]")
-_BIG = re.compile(r"[A-ZÀ-ÞА-Я]")
-_SMALL = re.compile(r"[a-zß-ÿа-я]")
+_BIG = re.compile(r"[A-ZÀ-ÞА-Я]+")
+_SMALL = re.compile(r"[a-zß-ÿа-я]+")
 _LATIN_DOT = ".…"
 
 # Months that follow an ordinal figure with a period.
@@ -93,11 +96,27 @@ class Corpus:
     words: dict = field(default_factory=dict)  # small word -> (openings, occurrences)
 
 
+def _back(text: str, i: int) -> int:
+    """Where the word begins that ends before ``i``: behind white space, a bracket or a mark, or four periods back.
+
+    Inner periods are limited so that a text without blanks is passed a few times, not once per period.
+    """
+    k, periods = i, 0
+    while k > 0:
+        c = text[k - 1]
+        if c.isspace() or c in _EDGES:
+            break
+        if c == "." and (periods := periods + 1) > 4:
+            break
+        k -= 1
+    return k
+
+
 def softened(text: str) -> list[str]:
     """The words that stand with a period before a comma or a small letter."""
     out = []
     for m in _SOFT.finditer(text):
-        w = _BEFORE.search(text, max(0, m.start() - 9), m.start())
+        w = _BEFORE.match(text, _back(text, m.start()), m.start())
         if w and w[0][0].isalpha() and w[0][-1] != ".":
             out.append(w[0].lower())
     return out
@@ -187,9 +206,7 @@ class Splitter:
         if kind != "prose":
             return [x for x in lines if x[0] < x[1]]
         self.own = frozenset(softened(text))
-        head = text[:300]
-        big, small = len(_BIG.findall(head)), len(_SMALL.findall(head))
-        self.upper = big > 2 * small
+        self.text, self.shown, self.capitals = text, None, None
         out: list[tuple[int, int]] = []
         for a, b in self.blocks(text, lines):
             out.extend(self.block(text, a, b))
@@ -355,12 +372,25 @@ class Splitter:
         return any(text[q].isupper() for q in range(n + 1, min(b, n + 3)))
 
     def token(self, text: str, i: int) -> str:
-        m = _BEFORE.search(text, max(0, i - 12), i)
+        m = _BEFORE.match(text, _back(text, i), i)
         w = m[0].lower() if m else ""
         head, _, tail = w.rpartition(".")
         # a sentence that ran on without a blank before this word
         return tail if len(head) >= 3 and "." not in head and len(head) > len(tail) else w
 
+    @property
+    def upper(self) -> bool:
+        """Whether the whole text is set in capitals."""
+        if self.capitals is None:
+            self.capitals = sum(map(len, _BIG.findall(self.text))) > 2 * sum(map(len, _SMALL.findall(self.text)))
+        return self.capitals
+
+    def occurs(self, word: str) -> tuple[bool, bool]:
+        """Whether the document has the word with a capital inside a sentence, and in small letters."""
+        if self.shown is None:
+            self.shown = ({w.lower() for w in _NAME.findall(self.text)}, set(_PLAIN.findall(self.text)))
+        return word in self.shown[0], word in self.shown[1]
+
     def abbreviation(self, text: str, i: int) -> bool:
         """Whether the word before the period at ``i`` is an abbreviation."""
         w = self.token(text, i)
@@ -417,7 +447,12 @@ class Splitter:
         w = self.token(text, i)
         if self.upper or c.isdigit() or script(c) or len(w) == 1 or w in self.c.titles:
             return False
-        # an abbreviation that is no title, before a capital: an end if the next word opens sentences
+        # an abbreviation that is no title, before a capital: the document tells a name from the first word of a sentence
+        word = opening(text, n, b)
+        name, plain = self.occurs(word)
+        if name != plain:
+            return plain
+        # else the corpus: an end if the next word opens sentences
         return self.c.openers.get(opening(text, n, b), 0.0) >= OPENER_SHARE
 
     def thai(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
