@@ -1,15 +1,16 @@
 """Problem 7: a consensus label per unit, an agreement figure, and a reliability per annotator.
 
 Reliability is spectral. Each vote is centred by the annotator's own label
-shares, so agreement by chance counts as nothing; the leading eigenvector of
-the centred agreement matrix, each entry divided by the units that the pair
-shares, gives the reliabilities. The matrix is never built and no pairs are
-listed: a round of the power iteration sums the weighted votes per unit, joins
-the sums back to the votes, and sums per annotator, leaving out the own vote.
-
-The reliabilities weight a first vote. Annotators who confuse labels in a
-regular way (mirrored or shifted scales) are then read through their confusion
-with that vote, in a few rounds of the same joins.
+shares, so agreement by chance counts as nothing. One join on units gives, per
+pair of annotators, their centred agreement and the units that they share; a
+unit has at most one vote of each annotator, so the table of pairs grows with
+the annotators, who are few, not with the votes. The agreement over the shared
+units is the matrix whose leading eigenvector gives the reliabilities, by power
+iteration: joins of the pairs with the vector, until it stays as it is.
+
+The reliabilities weight the vote. Annotators who confuse labels in a regular
+way (mirrored or shifted scales) are then read through their confusion with
+that vote, in a few rounds of joins; README states how many labels that changes.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from ..sources.tables import once, table
 # The labels.
 LABELS = ("SUPPORTED", "PARTIAL", "NOT_SUPPORTED", "CONTRADICTED")
 K = len(LABELS)
-#: Rounds of the power iteration, and of the reading through confusions.
-ROUNDS, REFINE = 8, 5
+#: Rounds of the power iteration at most, the change of the vector at which it stops, and rounds of the reading through confusions.
+ROUNDS, STILL, REFINE = 60, 1e-4, 5
+#: Units that every pair's overlap is counted as having beside, in which the pair agrees by chance.
+SHRINK = 4.0
 #: Votes that the prior of a confusion row counts as.
 SMOOTH = 6.0
 #: A unit is reported from so many annotators with usable labels.
@@ -50,23 +53,44 @@ def _is(i: int) -> Column:
     return (F.col("lab") == i).cast("double")
 
 
+def agreements(votes: DataFrame) -> DataFrame:
+    """(a, b, m): mean centred agreement of every two annotators over the units that they share, both ways round."""
+    shares = votes.groupBy("annotator_id").agg(*[F.avg(_is(i)).alias(f"p{i}") for i in range(K)])
+    z = votes.join(shares, "annotator_id").select("unit_id", "annotator_id", *[(_is(i) - F.col(f"p{i}")).alias(f"z{i}") for i in range(K)])
+    other = z.select("unit_id", F.col("annotator_id").alias("b"), *[F.col(f"z{i}").alias(f"y{i}") for i in range(K)])
+    both = z.withColumnRenamed("annotator_id", "a").join(other, "unit_id").where("a <> b")
+    product = reduce(lambda x, y: x + y, [F.col(f"z{i}") * F.col(f"y{i}") for i in range(K)])
+    return both.groupBy("a", "b").agg((F.sum(product) / (F.count(F.lit(1)) + SHRINK)).alias("m"))
+
+
 def reliabilities(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(annotator_id, r): the leading eigenvector, scaled so that the product of two entries estimates their centred agreement.
+    """(annotator_id, r): the leading eigenvector of the agreements, scaled so that the product of two entries estimates theirs.
 
-    An annotator who shares no unit with others has no estimate (r is 0).
+    A row with few partners is raised to what all partners would give. The sign
+    is that of the majority. An annotator who shares no unit with others has no
+    estimate (r is 0).
     """
-    shares = votes.groupBy("annotator_id").agg(*[F.avg(_is(i)).alias(f"p{i}") for i in range(K)])
-    z = spool(votes.join(shares, "annotator_id").select("unit_id", "annotator_id", *[(_is(i) - F.col(f"p{i}")).alias(f"z{i}") for i in range(K)]), "centred")
-    r = votes.select("annotator_id").distinct().withColumn("r", F.lit(0.6))
+    pairs = spool(agreements(votes), "agreements")
+    every = spool(votes.select("annotator_id").distinct(), "annotators")
+    n = every.count()
+    row = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
+    pairs = spool(pairs.join(row, "a").select("a", "b", (F.col("m") * (n - 1) / F.col("partners")).alias("m")), "corrected")
+    v = every.select("annotator_id", F.lit(1 / max(1, n) ** 0.5).alias("v"))
     for _ in range(rounds):
-        zr = z.join(r, "annotator_id")
-        unit = zr.groupBy("unit_id").agg(*[F.sum(F.col(f"z{i}") * F.col("r")).alias(f"s{i}") for i in range(K)], F.sum(F.col("r") * F.col("r")).alias("q"))
-        with_sums = zr.join(unit, "unit_id")
-        # agreement with the others of the unit, weighted; and what full reliability of theirs would give
-        top = reduce(lambda a, b: a + b, [F.col(f"z{i}") * (F.col(f"s{i}") - F.col(f"z{i}") * F.col("r")) for i in range(K)])
-        new = with_sums.groupBy("annotator_id").agg((F.sum(top) / F.nullif(F.sum(F.col("q") - F.col("r") * F.col("r")), F.lit(0.0))).alias("r"))
-        r = spool(new.select("annotator_id", F.coalesce("r", F.lit(0.0)).alias("r")), "reliability")
-    return r
+        # the vector itself is added, which keeps the iteration from swinging where eigenvalues are negative
+        moved = pairs.join(v.withColumnRenamed("annotator_id", "b"), "b").groupBy(F.col("a").alias("annotator_id")).agg(F.sum(F.col("m") * F.col("v")).alias("mv"))
+        step = spool(v.join(moved, "annotator_id", "left").select("annotator_id", "v", F.coalesce("mv", F.lit(0.0)).alias("mv")), "step")
+        size = step.agg(F.sqrt(F.sum((F.col("mv") + F.col("v")) * (F.col("mv") + F.col("v")))).alias("x")).first()["x"] or 1.0
+        v = step.select("annotator_id", ((F.col("mv") + F.col("v")) / size).alias("v"))
+        change = step.agg(F.max(F.abs((F.col("mv") + F.col("v")) / size - F.col("v"))).alias("x")).first()["x"]
+        if change is None or change < STILL:
+            break
+    v = spool(v, "eigenvector")
+    # v'Mv is the eigenvalue less what the empty diagonal lacks
+    w = v.join(pairs.join(v.withColumnRenamed("annotator_id", "b"), "b").groupBy(F.col("a").alias("annotator_id")).agg(F.sum(F.col("m") * F.col("v")).alias("mv")), "annotator_id", "left")
+    x = w.agg(F.sum(F.col("v") * F.coalesce("mv", F.lit(0.0))).alias("q"), F.sum(F.pow("v", F.lit(4))).alias("f"), F.sum("v").alias("s")).first()
+    scale = (max(0.0, x["q"] or 0.0) / max(1e-9, 1 - min(0.9, x["f"] or 0.0))) ** 0.5 * (-1.0 if (x["s"] or 0.0) < 0 else 1.0)
+    return w.select("annotator_id", F.when(F.col("mv").isNull(), 0.0).otherwise(F.col("v") * F.lit(scale)).alias("r"))
 
 
 def _softmax(cols: list[Column]) -> list[Column]:
