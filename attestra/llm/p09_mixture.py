@@ -62,7 +62,11 @@ def plan(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None)
 
 
 def schedule(docs: DataFrame, p: Plan) -> DataFrame:
-    """(slot, source, repeat_no, doc_id, tokens): the mixture in its order of slots."""
+    """(slot, source, repeat_no, doc_id, token_start, token_end, tokens): the mixture in its order of slots.
+
+    Blocks hold equally many tokens, but for the last of a source: a document
+    that crosses a block's edge is in both, each with its part of the tokens.
+    """
     spark = docs.sparkSession
     weight = sum(s[0] for s in p.sources.values())
     names = sorted(p.sources)
@@ -79,7 +83,10 @@ def schedule(docs: DataFrame, p: Plan) -> DataFrame:
     before = bucketed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).withColumn("base", F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t"))
     order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
     placed = bucketed.join(before.select("source", "bucket", "base"), ["source", "bucket"]).withColumn("start", F.col("base") + F.sum("tokens").over(order) - F.col("tokens"))
-    blocks = placed.select("source", "doc_id", "tokens", F.floor(F.col("start") / p.block).alias("block"))
+    last = F.greatest(F.col("start"), F.col("start") + F.col("tokens") - 1)
+    blocks = placed.select("source", "doc_id", "tokens", "start", F.explode(F.sequence(F.floor(F.col("start") / p.block), F.floor(last / p.block))).alias("block"))
+    edge = lambda b: F.greatest(F.lit(0), F.least(F.col("tokens"), b * p.block - F.col("start")))
+    blocks = blocks.select("source", "doc_id", "block", edge(F.col("block")).alias("token_start"), edge(F.col("block") + 1).alias("token_end"))
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for s in names for x in (s, max(1, -(-p.sources[s][2] // p.block)))]), F.col("source")) if names else F.lit(1)
     repeats = F.element_at(F.create_map(*[F.lit(x) for s in names for x in (s, p.sources[s][1])]), F.col("source")) if names else F.lit(1)
     # the schedule, ranked per source: counts per run of slots, then within the run
@@ -90,7 +97,7 @@ def schedule(docs: DataFrame, p: Plan) -> DataFrame:
     ahead = s.groupBy("source", "run").agg(F.count(F.lit(1)).alias("c")).withColumn("base", F.sum("c").over(Window.partitionBy("source").orderBy("run")) - F.col("c"))
     ranked = s.join(ahead.select("source", "run", "base"), ["source", "run"]).withColumn("k", F.col("base") + F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1)
     take = ranked.select("slot", "source", F.pmod(F.col("k"), n_blocks.cast("bigint")).alias("block"), F.floor(F.col("k") / n_blocks).alias("repeat_no")).where(F.col("repeat_no") < repeats)
-    return take.join(blocks, ["source", "block"]).select("slot", "source", F.col("repeat_no").cast("int").alias("repeat_no"), "doc_id", "tokens")
+    return take.join(blocks, ["source", "block"]).select("slot", "source", F.col("repeat_no").cast("int").alias("repeat_no"), "doc_id", "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("tokens"))
 
 
 def _sized(spark: SparkSession, d: str, tokenizer: Tokenizer) -> DataFrame:
