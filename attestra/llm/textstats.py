@@ -21,6 +21,7 @@ RULES = {
     "wrong_bytes": 0.008,  # wrongly decoded bytes per character, from here: mojibake
     "menu_share": 0.50,  # characters in lines of short separated labels, from here: page menu
     "number_cells": 0.40,  # cells that hold a figure or a gap, from here: table
+    "grid_share": 0.60,  # lines with equally many cells between tabs or framing bars, from here: table
     "bullet_share": 0.50,  # characters in lines with an item mark, from here: list
     "item_words": 5.0,  # words between line ends and separators, below, without sentence marks: list
     "sentence_rate": 0.30,  # sentence marks per twenty words, below: no sentence marks
@@ -80,10 +81,26 @@ _HEX = re.compile(r"[0-9a-fA-F]{2}")
 _INNER_CAPITAL = re.compile(r"(?<=[a-z0-9] )[A-Z][a-z]")
 _BLOCK = 12
 
+# Published rules for documents of web corpora, with their figures. Words and stop words, mean word
+# length, symbols to words, alphabetic words, bullet and ellipsis lines: Rae et al. 2021, "Scaling Language Models",
+# table A1. Lines that end in a mark: Raffel et al. 2020, "Exploring the Limits of Transfer Learning", section 2.2.
+PUBLISHED = {
+    "words_least": 50, "words_most": 100_000, "mean_word_least": 3.0, "mean_word_most": 10.0, "symbols_to_words": 0.1, "alphabetic_words": 0.8,
+    "bullet_lines": 0.9, "ellipsis_lines": 0.3, "stop_words": 2, "line_ends": 0.5,
+}
+STOP_WORDS = frozenset("the be to of and that have with".split())
+
 COUNTS = ("chars", "lines", "words", "terminators", "line_ends")
 RATIOS = ("mean_word", "symbol_ratio", "line_end_share", "bullet_share", "common_share", "cell_share")
 
 
+def _grid(rows: list[str]) -> float:
+    """The share of lines that have the most frequent number of cells, where lines are divided by tabs or framed by bars."""
+    cells = [x.count("\t") if "\t" in x else x.count("|") - 1 if x.strip().startswith("|") and x.strip().endswith("|") else 0 for x in rows]
+    most = max((cells.count(k) for k in set(cells) if k > 0), default=0)
+    return most / len(rows) if most > 1 else 0.0
+
+
 def statistics(texts: list[str], full: bool = True) -> dict[str, np.ndarray]:
     """The statistics of each text; an empty text has zeros.
 
@@ -128,16 +145,23 @@ def statistics(texts: list[str], full: bool = True) -> dict[str, np.ndarray]:
     w1 = np.maximum(words, 1)
     weight = words + counts[:, WIDE] * 0.5 + counts[:, THAI] * 0.2
     letters = counts[:, VOWEL] + counts[:, CONSONANT]
-    lines, bullets, blob, distinct, common, menu, dump, capitals = (np.zeros(n) for _ in range(8))
+    lines, bullets, blob, distinct, common, menu, dump, capitals, grid, bullet_lines, ellipses, alphabetic, stops = (np.zeros(n) for _ in range(13))
     for i, t in enumerate(texts):
         rows = [x for x in t.split("\n") if x and not x.isspace()]
         lines[i] = len(rows)
         for x in rows:
             if BULLET.match(x):
                 bullets[i] += len(x)
+                bullet_lines[i] += 1
+        grid[i] = _grid(rows) if "\t" in t or "|" in t else 0.0
+        if full:
+            ellipses[i] = sum(x.rstrip().endswith(("...", "…")) for x in rows)
         ws = t.lower().split()
         if not ws:
             continue
+        if full:
+            alphabetic[i] = sum(any(map(str.isalpha, w)) for w in ws) / len(ws)
+            stops[i] = len(STOP_WORDS.intersection(ws))
         blob[i] = sum(len(w) for w in ws if len(w) >= 40 and w.isascii() and w.replace("+", "").replace("/", "").replace("=", "").isalnum())
         bare = counts[i, DOT] + counts[i, SEP] + counts[i, MARK] <= 0.02 * len(ws)
         if full or bare:
@@ -175,6 +199,12 @@ def statistics(texts: list[str], full: bool = True) -> dict[str, np.ndarray]:
         "inner_capitals": capitals,
         "item_words": weight / np.maximum(lines + separators, 1),
         "sentence_rate": terminators / (weight / 20 + 1),
+        "grid_share": grid,
+        "bullet_lines": bullet_lines / np.maximum(lines, 1),
+        "ellipsis_lines": ellipses / np.maximum(lines, 1),
+        "alphabetic_words": alphabetic,
+        "stop_words": stops,
+        "symbols_to_words": np.fromiter((t.count("#") + t.count("...") + t.count("…") for t in texts), dtype=np.int64, count=n) / w1,
         "markup": np.fromiter((t.count("</t") for t in texts), dtype=np.int64, count=n),
     }
 
@@ -184,7 +214,8 @@ def failed_rules(s: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
     r = RULES
     listed = s["bullet_share"] >= r["bullet_share"]
     cells = (s["cell_share"] >= r["number_cells"]) & (s["lines"] >= 2) & ~listed
-    tabular = cells | (s["markup"] >= 4)
+    grid = (s["grid_share"] >= r["grid_share"]) & ~listed
+    tabular = cells | grid | (s["markup"] >= 4)
     return [
         ("junk_empty", s["words"] == 0),
         ("junk_blob", s["blob_share"] >= r["blob_share"]),
@@ -198,11 +229,27 @@ def failed_rules(s: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
         ("junk_shuffled", (s["words"] >= 15) & (s["marks"] <= 0.01 * s["words"]) & (s["inner_capitals"] >= 0.015) & (s["common_share"] >= 0.1) & (s["separators"] == 0) & (s["bullet_share"] == 0)),
         ("table_markup", s["markup"] >= 4),
         ("table_cells", cells),
+        ("table_grid", grid),
         ("list_bullets", listed),
         ("list_items", (s["item_words"] < r["item_words"]) & (s["sentence_rate"] < r["sentence_rate"]) & (s["lines"] + s["separators"] >= 3)),
     ]
 
 
+def failed_published(s: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
+    """The published rules that a text fails. They are for English web pages, so they are recorded and decide no kind."""
+    p = PUBLISHED
+    return [
+        ("published_words", (s["words"] < p["words_least"]) | (s["words"] > p["words_most"])),
+        ("published_mean_word", (s["mean_word"] < p["mean_word_least"]) | (s["mean_word"] > p["mean_word_most"])),
+        ("published_symbols", s["symbols_to_words"] > p["symbols_to_words"]),
+        ("published_alphabetic", s["alphabetic_words"] < p["alphabetic_words"]),
+        ("published_bullets", s["bullet_lines"] > p["bullet_lines"]),
+        ("published_ellipses", s["ellipsis_lines"] > p["ellipsis_lines"]),
+        ("published_stop_words", s["stop_words"] < p["stop_words"]),
+        ("published_line_ends", s["line_end_share"] < p["line_ends"]),
+    ]
+
+
 def kinds(texts: list[str], full: bool = True) -> tuple[dict[str, np.ndarray], list[str], list[list[str]]]:
     """(statistics, kind, names of the failed rules) of each text; the first failed rule gives the kind."""
     s = statistics(texts, full)
@@ -210,4 +257,9 @@ def kinds(texts: list[str], full: bool = True) -> tuple[dict[str, np.ndarray], l
     for name, hit in failed_rules(s):
         for i in np.flatnonzero(hit):
             why[i].append(name)
-    return s, [w[0].split("_")[0] if w else "prose" for w in why], why
+    decided = [w[0].split("_")[0] if w else "prose" for w in why]
+    if full:
+        for name, hit in failed_published(s):
+            for i in np.flatnonzero(hit):
+                why[i].append(name)
+    return s, decided, why
