@@ -84,7 +84,7 @@ def best_span_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of claims over several premises: the greatest of each verifier per claim, and the sum of these per query."""
     v = once(table(spark, d, "verifier_scores").select("score_id", "claim_key", "query_id", "verifier_name", "score"), "score_id").where("score is not null and not isnan(score)")
     top = v.groupBy("query_id", "claim_key", "verifier_name").agg(F.greatest(F.lit(0.0), F.max("score")).alias("top"))
-    return top.groupBy("query_id", "verifier_name").agg(F.count(F.lit(1)).alias("n_claims"), F.round(F.sum("top"), 3).alias("sum_top"))
+    return top.groupBy("query_id", "verifier_name").agg(F.count(F.lit(1)).alias("n_claims"), F.round(F.sum(F.round("top", 6).cast("decimal(20,6)")), 3).cast("double").alias("sum_top"))
 
 
 def backend_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -150,5 +150,5 @@ SQL = {
     "prj13_completed": _PRE + "SELECT annotator_id, done, judged, round(judged * 30.0::DOUBLE / nullif(done, 0) * total / 3600, 6) AS projected_hours FROM (SELECT annotator_id, count(DISTINCT question_uid) AS done, count(claim_validity) AS judged FROM hl WHERE annotator_id IS NOT NULL GROUP BY 1), (SELECT count(DISTINCT question_uid) AS total FROM hl WHERE annotator_id IS NOT NULL)",
     "prj16_verdicts": _PRE + "SELECT config_id, n, over_ AS \"over\", CASE WHEN over_ > n * 0.1 THEN 'ineligible' WHEN n < 100 THEN 'refused' ELSE 'earns' END AS verdict FROM (SELECT config_id, count(*) AS n, count(*) FILTER (length(text) > max_chars) AS over_ FROM ch JOIN chunk_configs USING (config_id) GROUP BY 1)",
     "sc24_unit_hits": _PRE + "SELECT query_id, count(*) AS n, count(*) FILTER (gold_rank <= 5) AS hits, round(avg(coalesce((gold_rank <= 5)::INT, 0)), 6) AS share FROM gr WHERE n_gold > 0 GROUP BY 1",
-    "sc29_best_span_scores": "WITH v AS (SELECT DISTINCT ON (score_id) * FROM verifier_scores) SELECT query_id, verifier_name, count(*) AS n_claims, round(sum(top), 3) AS sum_top FROM (SELECT query_id, claim_key, verifier_name, greatest(0, max(score)) AS top FROM v WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    "sc29_best_span_scores": "WITH v AS (SELECT DISTINCT ON (score_id) * FROM verifier_scores) SELECT query_id, verifier_name, count(*) AS n_claims, round(sum(round(top, 6)::DECIMAL(20,6)), 3)::DOUBLE AS sum_top FROM (SELECT query_id, claim_key, verifier_name, greatest(0, max(score)) AS top FROM v WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3) GROUP BY 1, 2",
 }
