@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -152,7 +155,7 @@ def draws(spark: SparkSession, clusters: DataFrame, n_boot: int, seed: int) -> D
     return x.select("replicate", F.pmod(h, F.col("n")).alias("idx"))
 
 
-def bootstrap(stats: DataFrame, spark: SparkSession, top: str, bottom: str, n_boot: int = 500, seed: int = 7) -> DataFrame:
+def bootstrap(stats: DataFrame, spark: SparkSession, top: str, bottom: str, n_boot: int = 10_000, seed: int = 7) -> DataFrame:
     """Percentile interval of sum(top) / sum(bottom) over resampled clusters.
 
     ``stats`` has one row (cluster, idx 0..n-1, top, bottom): each cluster is
@@ -186,23 +189,57 @@ def design_effect(spark: SparkSession, d: str) -> DataFrame:
     q = accuracy_units(spark, d)
     flat = q.select("query_id", "good", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).select(F.concat_ws("#", "query_id", F.format_string("%06d", "i")).alias("u"), (F.col("i") <= F.col("good")).cast("bigint").alias("good"), F.lit(1).cast("bigint").alias("n"))
     a = bootstrap(_indexed(q, "query_id"), spark, "good", "n").select(F.col("width").alias("clustered"))
-    b = bootstrap(_indexed(flat, "u"), spark, "good", "n", 200).select(F.col("width").alias("flat"), F.col("n_clusters").alias("n_units"))
+    b = bootstrap(_indexed(flat, "u"), spark, "good", "n").select(F.col("width").alias("flat"), F.col("n_clusters").alias("n_units"))
     ratio = F.col("clustered") / F.col("flat")
     return a.crossJoin(b).select("n_units", "clustered", "flat", F.round(ratio, 3).alias("width_ratio"), F.round(ratio * ratio, 3).alias("design_effect"), F.round(F.col("n_units") / (ratio * ratio), 1).alias("n_effective"))
 
 
-def permutation(spark: SparkSession, d: str, n_perm: int = 400, seed: int = 11) -> DataFrame:
-    """Two-sided permutation test: do the questions of queries with and without a wrong decision differ in length?"""
+#: Permutations that one task draws at a time.
+DRAWN = 2_000
+#: Distinct values that a permutation test may have, as they are sent to every task.
+MOST_VALUES = 100_000
+
+
+def permutation_p(units: DataFrame, n_perm: int = 200_000, seed: int = 11) -> DataFrame:
+    """(n_miss, n, observed, extreme, p_value): two-sided permutation test of the difference of means of v between miss and hit.
+
+    ``units`` has one row (miss, v) per unit. Units of equal value are alike, so
+    a permutation is a draw of how many misses each distinct value gets: its
+    size is the number of values, not of units. Without units of both kinds
+    there is no difference: the figures are null.
+    """
+    spark = units.sparkSession
+    kept = units.where("v is not null and miss is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count_if("miss").alias("k")).orderBy("v").limit(MOST_VALUES + 1).collect()
+    if len(kept) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} distinct values")
+    v, n, k = (np.array([r[c] for r in kept], dtype=t) for c, t in (("v", float), ("n", np.int64), ("k", np.int64)))
+    misses, size = int(k.sum()), int(n.sum())
+    schema = "n_miss bigint, n bigint, observed double, extreme bigint, p_value double"
+    if misses == 0 or misses == size:
+        return spark.createDataFrame([(misses, size, None, None, None)] if size else [], schema)
+    total = float(v @ n)
+    apart = lambda s: np.abs(s / misses - (total - s) / (size - misses))
+    observed = float(apart(float(v @ k)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hits = 0
+            for block in pdf["id"]:
+                rng = np.random.default_rng([seed, int(block)])
+                drawn = rng.multivariate_hypergeometric(n, misses, size=min(DRAWN, n_perm - int(block) * DRAWN), method="marginals")
+                hits += int((apart(drawn @ v) >= observed - 1e-9).sum())
+            yield pd.DataFrame({"hits": [hits]})
+
+    blocks = -(-n_perm // DRAWN)
+    drawn = spark.range(0, blocks, 1, min(blocks, 64)).mapInPandas(run, "hits bigint").agg(F.sum("hits").alias("extreme"))
+    return drawn.select(F.lit(misses).cast("bigint").alias("n_miss"), F.lit(size).cast("bigint").alias("n"), F.lit(round(observed, 5)).alias("observed"), "extreme", F.round((F.col("extreme") + 1) / (n_perm + 1), 6).alias("p_value"))
+
+
+def permutation(spark: SparkSession, d: str) -> DataFrame:
+    """Do the questions of queries with and without a wrong decision differ in length?"""
     q = accuracy_units(spark, d).select("query_id", (F.col("good") < F.col("n")).alias("miss"))
     size = R.records(spark, d, "query_id", "question").where("question is not null").groupBy("query_id").agg(F.max(F.char_length("question")).alias("v"))
-    u = q.join(size, "query_id")
-    t = u.agg(F.count_if("miss").alias("k"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.sum(F.when(F.col("miss"), F.col("v"))).alias("sk"))
-    diff = lambda s: F.abs(s / F.col("k") - (F.col("total") - s) / (F.col("n") - F.col("k")))
-    p = spark.range(n_perm).withColumnRenamed("id", "rep").crossJoin(u.select("query_id", "v"))
-    p = p.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), "query_id")))
-    p = p.withColumn("o", F.row_number().over(Window.partitionBy("rep").orderBy("h", "query_id"))).crossJoin(t.select("k", "n", "total", "sk")).where(F.col("o") <= F.col("k"))
-    s = p.groupBy("rep", "k", "n", "total", "sk").agg(F.sum("v").alias("s"))
-    return s.groupBy("k", "n").agg(F.round(F.first(diff(F.col("sk"))), 5).alias("observed"), F.count_if(diff(F.col("s")) >= diff(F.col("sk")) - 1e-9).alias("extreme"), F.count(F.lit(1)).alias("n_perm")).select(F.col("k").alias("n_miss"), "n", "observed", "extreme", F.round((F.col("extreme") + 1) / (F.col("n_perm") + 1), 5).alias("p_value"))
+    return permutation_p(q.join(size, "query_id"))
 
 
 QUERIES = {
@@ -249,10 +286,6 @@ SQL = {
     "win8_spearman": _PA + ", k AS (SELECT avg(i) OVER (PARTITION BY a) AS ra, avg(j) OVER (PARTITION BY b) AS rb FROM (SELECT a, b, row_number() OVER (ORDER BY a) AS i, row_number() OVER (ORDER BY b) AS j FROM pp)) SELECT count(*) AS n, round(corr(ra, rb), 5) AS spearman FROM k",
     "sc25_separation": _SC + "SELECT count(*) FILTER (y) AS n_pos, count(*) FILTER (NOT y) AS n_neg, round(avg(s) FILTER (y) - avg(s) FILTER (NOT y), 5) AS separation FROM sc",
     "sc25_crossings": _PA + "SELECT tau, count(*) AS n, count(*) FILTER ((a >= tau) <> (b >= tau)) AS crossings FROM pp, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS tau) GROUP BY 1",
-    "sc11_bootstrap_accuracy": _AC + f"SELECT * FROM {_boot('q', 'query_id', 500)}",
-    "sc21_design_effect": _AC + f", f AS (SELECT query_id || '#' || lpad(i::VARCHAR, 6, '0') AS u, (i <= good)::BIGINT AS good, 1::BIGINT AS n FROM (SELECT query_id, good, unnest(range(1, n + 1)) AS i FROM q)) SELECT n_units, clustered, flat, round(clustered / flat, 3) AS width_ratio, round((clustered / flat) * (clustered / flat), 3) AS design_effect, round(n_units / ((clustered / flat) * (clustered / flat)), 1) AS n_effective FROM (SELECT width AS clustered FROM {_boot('q', 'query_id', 500)}), (SELECT width AS flat, n_clusters AS n_units FROM {_boot('f', 'u', 200)})",
-    "sc20_permutation": _AC
-    + """, u AS (SELECT query_id, good < n AS miss, v FROM q JOIN (SELECT query_id, max(length(question)) AS v FROM r WHERE question IS NOT NULL GROUP BY 1) USING (query_id)), t AS (SELECT count(*) FILTER (miss) AS k, count(*) AS n, sum(v) AS total, sum(v) FILTER (miss) AS sk FROM u),
-s AS (SELECT rep, sum(v) AS s FROM (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY md5('11:' || rep || ':' || query_id), query_id) AS o FROM u, (SELECT unnest(range(0, 400)) AS rep)), t WHERE o <= k GROUP BY 1)
-SELECT k AS n_miss, n, round(ob, 5) AS observed, extreme, round((extreme + 1) / 401, 5) AS p_value FROM (SELECT k, n, abs(sk / k - (total - sk) / (n - k)) AS ob, (SELECT count(*) FROM s WHERE abs(s / k - (total - s) / (n - k)) >= abs(sk / k - (total - sk) / (n - k)) - 1e-9) AS extreme FROM t)""",
+    "sc11_bootstrap_accuracy": _AC + f"SELECT * FROM {_boot('q', 'query_id', 10_000)}",
+    "sc21_design_effect": _AC + f", f AS (SELECT query_id || '#' || lpad(i::VARCHAR, 6, '0') AS u, (i <= good)::BIGINT AS good, 1::BIGINT AS n FROM (SELECT query_id, good, unnest(range(1, n + 1)) AS i FROM q)) SELECT n_units, clustered, flat, round(clustered / flat, 3) AS width_ratio, round((clustered / flat) * (clustered / flat), 3) AS design_effect, round(n_units / ((clustered / flat) * (clustered / flat)), 1) AS n_effective FROM (SELECT width AS clustered FROM {_boot('q', 'query_id', 10_000)}), (SELECT width AS flat, n_clusters AS n_units FROM {_boot('f', 'u', 10_000)})",
 }

@@ -114,7 +114,7 @@ def pairing(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(why.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def contrast(spark: SparkSession, d: str, n_boot: int = 300, seed: int = 5) -> DataFrame:
+def contrast(spark: SparkSession, d: str, n_boot: int = 10_000, seed: int = 5) -> DataFrame:
     """F1 of joint minus post_hoc over the queries of both, with the query-clustered interval.
 
     Each query is reduced to its four sums per system before it is resampled.
@@ -183,6 +183,6 @@ SQL = {
     "agg10_citation_f1": _PRE + _by(_j("0.3"), "system_name"),
     "agg22_recall_by_length": _PRE + f", j AS (SELECT system_name, {_BAND} AS band, count(*) AS n, round(avg(recalled), 6) AS recall FROM {_j('0.3')} GROUP BY 1, 2) SELECT system_name, band, coalesce(n, 0) AS n, recall FROM (SELECT unnest(['joint', 'post_hoc', 'vanilla']) AS system_name) CROSS JOIN (SELECT unnest(['0-10', '11-15', '16-20', '21-30', '31+']) AS band) LEFT JOIN j USING (system_name, band)",
     "jn6_pairing": _PRE + ", n AS (SELECT record_id, count(*) AS n FROM c GROUP BY 1), g AS (SELECT run_id, query_id, seed, system_name, max(coalesce(n, 0)) AS n, bool_and(coalesce(trim(raw_generation, ' '), '') = '' AND n IS NULL) AS bad FROM r LEFT JOIN n USING (record_id) GROUP BY ALL) SELECT CASE WHEN a.n IS NULL THEN 'missing joint' WHEN b.n IS NULL THEN 'missing post_hoc' WHEN a.bad THEN 'rejected joint' WHEN b.bad THEN 'rejected post_hoc' WHEN a.n = 0 THEN 'no claims joint' WHEN b.n = 0 THEN 'no claims post_hoc' ELSE 'paired' END AS outcome, count(*) AS n FROM (SELECT * FROM g WHERE system_name = 'joint') a FULL JOIN (SELECT * FROM g WHERE system_name = 'post_hoc') b ON a.run_id = b.run_id AND a.query_id = b.query_id AND a.seed = b.seed GROUP BY 1",
-    "sc22_contrast": _PRE + f", q AS {_QS} SELECT *, lower > 0 OR upper < 0 AS excludes_zero FROM (SELECT count(*) AS n_queries, round({_f1('j')}, 5) AS f1_joint, round({_f1('p')}, 5) AS f1_post_hoc, round({_f1('j')} - {_f1('p')}, 5) AS delta FROM q), (SELECT round(quantile_cont(d, 0.025), 5) AS lower, round(quantile_cont(d, 0.975), 5) AS upper FROM (SELECT replicate, {_f1('j')} - {_f1('p')} AS d FROM (SELECT replicate, ('0x' || substr(md5('5:' || replicate || ':' || pos), 1, 8))::BIGINT % nc AS idx FROM (SELECT count(*) AS nc FROM q), (SELECT unnest(range(0, 300)) AS replicate), LATERAL (SELECT unnest(range(0, nc)) AS pos)) JOIN q USING (idx) GROUP BY 1))",
+    "sc22_contrast": _PRE + f", q AS {_QS} SELECT *, lower > 0 OR upper < 0 AS excludes_zero FROM (SELECT count(*) AS n_queries, round({_f1('j')}, 5) AS f1_joint, round({_f1('p')}, 5) AS f1_post_hoc, round({_f1('j')} - {_f1('p')}, 5) AS delta FROM q), (SELECT round(quantile_cont(d, 0.025), 5) AS lower, round(quantile_cont(d, 0.975), 5) AS upper FROM (SELECT replicate, {_f1('j')} - {_f1('p')} AS d FROM (SELECT replicate, ('0x' || substr(md5('5:' || replicate || ':' || pos), 1, 8))::BIGINT % nc AS idx FROM (SELECT count(*) AS nc FROM q), (SELECT unnest(range(0, 10000)) AS replicate), LATERAL (SELECT unnest(range(0, nc)) AS pos)) JOIN q USING (idx) GROUP BY 1))",
     "sc23_tau_sweep": _PRE + _by(_j("tau", "(SELECT *, unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS tau FROM f)"), "system_name, tau"),
 }
