@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("operators.retrieval_metrics", "operators.claim_metrics", "operators.aggregates", "operators.agreement", "operators.text_units", "operators.search", "operators.citation_scores", "operators.sampling", "operators.replies", "operators.pairs", "sources.files", "streaming.logs")
+MODULES: tuple[str, ...] = ("operators.retrieval_metrics", "operators.claim_metrics", "operators.aggregates", "operators.agreement", "operators.text_units", "operators.search", "operators.citation_scores", "operators.sampling", "operators.replies", "operators.pairs", "operators.quotes", "sources.files", "streaming.logs")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
