@@ -299,6 +299,5 @@ SQL = {
     "top6_question_order": _PRE + "SELECT query_id, order_index FROM qo",
     "top7_splits": _PRE + "SELECT query_id, split FROM sl",
     "top10_best_snapshot": _PRE + _SN + "SELECT annotator_id, arg_max(day, (completed, saved_at)) AS best_day, max(completed) AS completed, arg_max(day, saved_at) AS latest_day FROM sn GROUP BY 1",
-    "top12_control_draw": _PRE + ", gq AS (SELECT DISTINCT query_id, unnest(gold_passage_ids) AS passage_id FROM r), x AS (SELECT qo.query_id, p.passage_id, md5('17:' || qo.query_id || ':' || p.passage_id) AS key FROM qo JOIN p ON substr(md5(qo.query_id), 1, 1) = substr(md5(p.passage_id), 1, 1) WHERE trim(text, ' ') <> ''), y AS (SELECT x.* FROM x ANTI JOIN gq ON x.query_id = gq.query_id AND x.passage_id = gq.passage_id), z AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY key, passage_id) AS slot FROM y) SELECT query_id, slot, passage_id FROM z WHERE slot <= 3",
     "win5_runaway": _PRE + r", k AS (SELECT record_id, claim_key, regexp_extract(claim_id, '(\d+)', 1)::INT AS i, regexp_replace(lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))), '[ .,;:]+$', '') AS stem FROM c WHERE text IS NOT NULL), l AS (SELECT *, lag(stem) OVER (PARTITION BY record_id ORDER BY i, claim_key) AS prev FROM k), n AS (SELECT *, CASE WHEN length(stem) > length(prev) AND starts_with(stem, prev) AND NOT regexp_matches(substr(stem, length(prev) + 1, 1), '[\p{L}\p{N}]') THEN 0 ELSE 1 END AS new FROM l), o AS (SELECT *, sum(new) OVER (PARTITION BY record_id ORDER BY i, claim_key) AS island FROM n) SELECT record_id, min(claim_key) AS first_claim, count(*) AS length FROM o GROUP BY record_id, island HAVING count(*) >= 2",
 }

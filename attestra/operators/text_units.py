@@ -235,7 +235,7 @@ SQL = {
     "fn18_judge_scores": "SELECT CASE WHEN score_id % 5 <> 2 AND k BETWEEN 0 AND 100 THEN round(k / 100.0::DOUBLE, 2) END AS judge_score, count(*) AS n FROM (SELECT DISTINCT score_id, floor(score * 120)::INT AS k FROM verifier_scores WHERE score IS NOT NULL AND NOT isnan(score)) GROUP BY 1",
     "fn21_blind_ids": _PRE + "SELECT claim_key, 'unit_' || substr(sha256(concat_ws('|', 'unit', '13', record_id::VARCHAR, claim_id)), 1, 12) AS unit FROM c",
     "fn27_repaired_json": _PRE + ", x AS (SELECT (SELECT min(i) FROM (SELECT unnest(range(0, 8)) AS i, unnest(['', '}', ']}', '\"}]}', '\"]}]}', '\"\"}]}', 'null}]}', '\"\"}]}}']) AS s) WHERE json_valid(raw_generation || s)) AS closing, raw_generation FROM r WHERE regexp_matches(raw_generation, '^\\s*\\{')) SELECT closing, CASE WHEN closing IS NOT NULL THEN (raw_generation || ['', '}', ']}', '\"}]}', '\"]}]}', '\"\"}]}', 'null}]}', '\"\"}]}}'][closing + 1])::JSON->>'decision' END AS decision, count(*) AS n FROM x GROUP BY 1, 2",
-    "fn28_unwrapped": _PRE + "SELECT record_id, least(length(raw_generation), 200) AS n_chars FROM r WHERE raw_generation IS NOT NULL",
+    "fn28_unwrapped": _PRE + "SELECT record_id, length(CASE WHEN starts_with(raw_generation, '\"') AND json_valid(raw_generation) THEN raw_generation::JSON->>'$' ELSE raw_generation END) AS n_chars FROM r WHERE raw_generation IS NOT NULL",
     "win3_windows": _PRE + _WN.format(size=5, stride=2) + "SELECT doc_id, f AS first, least(f + 5, n) AS \"end\" FROM wi",
     "prj14_prompt_guard": _PRE + f", x AS (SELECT backend, greatest(len(regexp_extract_all(raw_generation, '{_W}')), length(raw_generation) // 4) AS t FROM r WHERE raw_generation IS NOT NULL) SELECT backend, count(*) AS n, sum(t)::BIGINT AS tokens, count(*) FILTER (t + 256 > 700) AS refused FROM x GROUP BY 1",
     "prj15_model_windows": _PRE + "SELECT DISTINCT backend, CASE WHEN contains(backend, 'hosted:') THEN 200000 WHEN contains(backend, 'orla-7b') THEN 14336 WHEN contains(backend, 'orla') THEN 32768 ELSE 14336 END::BIGINT AS max_tokens FROM r",
