@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import r6
+from ..plans.durable import spool
 from ..sources import records as R
 from ..sources.tables import once, table
 
@@ -155,14 +157,94 @@ def draws(spark: SparkSession, clusters: DataFrame, n_boot: int, seed: int) -> D
     return x.select("replicate", F.pmod(h, F.col("n")).alias("idx"))
 
 
+#: Draws that are hashed at once.
+HASHED = 32_768
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def _first_words(prefix: bytes, pos: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the MD5 digests of ``prefix`` with each number of ``pos`` behind it; all numbers have as many digits."""
+    size = len(prefix) + len(str(int(pos[0])))
+    if size > 55:
+        raise ValueError("more than one block to hash")
+    text = np.zeros((64, len(pos)), dtype=np.uint8)
+    text[: len(prefix)] = np.frombuffer(prefix, dtype=np.uint8)[:, None]
+    left = pos.astype(np.uint32)
+    for i in range(size - 1, len(prefix) - 1, -1):
+        rest = left // np.uint32(10)
+        text[i] = 48 + (left - rest * np.uint32(10))
+        left = rest
+    text[size], text[56], text[57] = 128, size * 8 & 255, size * 8 >> 8
+    # words that no digit touches are one number for all
+    touched = range(len(prefix) // 4, (size - 1) // 4 + 1)
+    words = [np.ascontiguousarray(text[4 * i : 4 * i + 4].T).view("<u4").ravel() if i in touched else np.uint32(int.from_bytes(text[4 * i : 4 * i + 4, 0].tobytes(), "little")) for i in range(16)]
+    full = lambda x: np.full(len(pos), x, dtype=np.uint32)
+    a, b, c, d = full(0x67452301), full(0xEFCDAB89), full(0x98BADCFE), full(0x10325476)
+    f, t = full(0), full(0)
+    for i in range(64):
+        turn = i // 16
+        if turn == 0:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif turn == 1:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.bitwise_not(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        w, shift = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16], _SHIFTS[turn][i % 4]
+        np.add(f, a, out=f)
+        if isinstance(w, np.ndarray):
+            np.add(f, w, out=f), np.add(f, np.uint32(_SINES[i]), out=f)
+        else:
+            np.add(f, np.uint32((int(w) + _SINES[i]) & 0xFFFFFFFF), out=f)
+        np.left_shift(f, np.uint32(shift), out=t), np.right_shift(f, np.uint32(32 - shift), out=f), np.bitwise_or(f, t, out=f), np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def drawn(replicate: int, n: int, seed: int) -> Iterator[np.ndarray]:
+    """The clusters of one replicate as of ``draws``, in pieces."""
+    at = 0
+    while at < n:
+        end = min(n, at + HASHED, 10 ** len(str(at)))
+        yield (_first_words(f"{seed}:{replicate}:".encode(), np.arange(at, end)) % np.uint32(n)).astype(np.int64)
+        at = end
+
+
+def replicates(spark: SparkSession, n_boot: int) -> DataFrame:
+    """Numbers of replicates as ``id``, in a part of the work for each of 64 tasks at most."""
+    return spark.range(0, n_boot, 1, min(n_boot, 64))
+
+
+def packed(df: DataFrame, *cols: str) -> list[np.ndarray]:
+    """Whole-number columns on the driver, each in the smallest type that holds it."""
+    t = df.select(*[F.col(c).cast("bigint").alias(c) for c in cols]).toArrow()
+    x = [t[c].to_numpy() for c in cols]
+    return [v.astype(np.promote_types(np.min_scalar_type(v.min()), np.min_scalar_type(v.max()))) if len(v) else v.astype(np.int64) for v in x]
+
+
 def bootstrap(stats: DataFrame, spark: SparkSession, top: str, bottom: str, n_boot: int = 10_000, seed: int = 7) -> DataFrame:
     """Percentile interval of sum(top) / sum(bottom) over resampled clusters.
 
-    ``stats`` has one row (cluster, idx 0..n-1, top, bottom): each cluster is
-    reduced to its sums before it is resampled, so a replicate costs one small
-    row per cluster, whatever the clusters hold.
+    ``stats`` has one row (cluster, idx 0..n-1, top, bottom) of whole numbers:
+    each cluster is reduced to its sums before it is resampled. The sums go to
+    every task in a few bytes a cluster; a task adds up its replicates draw by
+    draw, so no draw is ever a row.
     """
-    r = draws(spark, stats, n_boot, seed).join(stats.select("idx", top, bottom), "idx").groupBy("replicate").agg((F.sum(top) / F.nullif(F.sum(bottom), F.lit(0))).alias("v"))
+    stats = spool(stats.select("idx", top, bottom), "clusters")
+    idx, a, b = packed(stats, "idx", top, bottom)
+    order = np.argsort(idx)
+    shared = spark.sparkContext.broadcast((a[order], b[order]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = shared.value
+        for pdf in batches:
+            sums = [[(int(a[i].sum(dtype=np.int64)), int(b[i].sum(dtype=np.int64))) for i in drawn(r, len(a), seed)] for r in pdf["id"].tolist()] if len(a) else []
+            pairs = [tuple(map(sum, zip(*x))) for x in sums]
+            yield pd.DataFrame({"t": [x for x, _ in pairs], "b": [y for _, y in pairs]}, dtype="int64")
+
+    r = replicates(spark, n_boot).mapInPandas(run, "t bigint, b bigint").select((F.col("t") / F.nullif(F.col("b"), F.lit(0))).alias("v"))
     ci = r.agg(F.count("v").alias("n_boot"), F.round(F.percentile("v", F.lit(0.025)), 5).alias("lower"), F.round(F.percentile("v", F.lit(0.975)), 5).alias("upper"))
     point = stats.agg(F.count(F.lit(1)).alias("n_clusters"), F.round(F.sum(top) / F.nullif(F.sum(bottom), F.lit(0)), 5).alias("point"))
     return point.crossJoin(ci).withColumn("width", F.round(F.col("upper") - F.col("lower"), 5))
