@@ -5,11 +5,13 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import r6
+from ..plans.durable import spool
 from ..sources import records as R
 from . import agreement as A
 from .claim_metrics import words
@@ -156,7 +158,7 @@ def median_gap(spark: SparkSession, d: str, draws: int = 4000, seed: int = 3) ->
     """Median words per claim of post_hoc over joint, less one, with the interval from resampled queries.
 
     Queries need records of both systems. Each is reduced to counts per system
-    and number of words; a replicate adds up those of its draws. Replicates in
+    and number of words, which go to every task; a replicate adds up those of its draws. Replicates in
     which a system has no claim are left out; the ends are order statistics.
     """
     r = R.records(spark, d, "query_id", "system_name").where("query_id is not null and system_name in ('joint', 'post_hoc')")
@@ -165,17 +167,35 @@ def median_gap(spark: SparkSession, d: str, draws: int = 4000, seed: int = 3) ->
     w = c.join(r, "record_id").join(both, "query_id").groupBy("query_id", "system_name", "w").agg(F.count(F.lit(1)).alias("n"))
     ids = A._indexed(both, "query_id")
     n = ids.agg(F.count(F.lit(1)).alias("n_queries"))
-    drawn = A.draws(spark, ids, draws, seed).groupBy("replicate", "idx").agg(F.count(F.lit(1)).alias("times"))
-    x = drawn.join(ids, "idx").join(w, "query_id").groupBy("replicate", "system_name", "w").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
-    own = w.groupBy("system_name", "w").agg(F.sum("n").alias("n")).withColumn("replicate", F.lit(-1).cast("bigint"))
-    x = x.unionByName(own.select(*x.columns))
-    # both middle values by cumulated counts; a group has as many rows as there are numbers of words
-    by = Window.partitionBy("replicate", "system_name")
-    x = x.withColumn("upto", F.sum("n").over(by.orderBy("w"))).withColumn("total", F.sum("n").over(by))
-    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("w")))
-    m = x.groupBy("replicate", "system_name").agg(((at(F.floor((F.col("total") + 1) / 2)) + at(F.floor((F.col("total") + 2) / 2))) / 2).alias("m"))
-    g = m.groupBy("replicate").agg(F.max(F.when(F.col("system_name") == "joint", F.col("m"))).alias("j"), F.max(F.when(F.col("system_name") == "post_hoc", F.col("m"))).alias("p"))
-    g = g.where("j is not null and p is not null").select("replicate", ((F.col("p") - F.col("j")) / F.nullif("j", F.lit(0.0))).alias("gap"))
+    kinds = F.when(F.col("system_name") == "joint", 0).otherwise(1)
+    counts = spool(w.join(ids, "query_id").select("idx", kinds.alias("k"), "w", "n"), "words")
+    size = n.first()["n_queries"]
+    shared = spark.sparkContext.broadcast(A.packed(counts, "idx", "k", "w", "n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idx, kind, words_, times = shared.value
+        values = np.unique(words_)
+        idx, times, kind = idx.astype(np.int64), times.astype(np.float64), kind.astype(np.int64)
+        code = np.searchsorted(values, words_) + kind * len(values)
+
+        def middle(c: np.ndarray) -> float | None:
+            upto = np.cumsum(c)
+            if not len(upto) or upto[-1] == 0:
+                return None
+            return sum(float(values[np.searchsorted(upto, (upto[-1] + i) // 2)]) for i in (1, 2)) / 2
+
+        for pdf in batches:
+            out = []
+            for r in pdf["id"].tolist():
+                often = np.ones(size) if r < 0 else sum(np.bincount(i, minlength=size) for i in A.drawn(r, size, seed))
+                # counts stay whole: a double holds them up to 2^53
+                c = np.bincount(code, often[idx] * times, 2 * len(values)).astype(np.int64) if len(code) else np.zeros(0, dtype=np.int64)
+                out.append((r, middle(c[: len(values)]), middle(c[len(values) :])))
+            yield pd.DataFrame(out, columns=["replicate", "j", "p"]).astype({"replicate": "int64", "j": "float64", "p": "float64"})
+
+    every = A.replicates(spark, draws).unionByName(spark.range(-1, 0))
+    g = every.mapInPandas(run, "replicate bigint, j double, p double")
+    g = g.where("j is not null and p is not null and not isnan(j) and not isnan(p)").select("replicate", ((F.col("p") - F.col("j")) / F.nullif("j", F.lit(0.0))).alias("gap"))
     # draws are a parameter, so their gaps are few
     sorted_gaps = F.array_sort(F.collect_list(F.when(F.col("replicate") >= 0, F.col("gap"))))
     s = g.agg(sorted_gaps.alias("s"), F.max(F.when(F.col("replicate") < 0, F.col("gap"))).alias("point"))
