@@ -16,7 +16,7 @@ def test_draws_are_those_of_md5(replicate, n, seed):
     assert np.concatenate(list(A.drawn(replicate, n, seed))).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["sc11_bootstrap_accuracy", "sc12_gap_interval"])
+@pytest.mark.parametrize("name", ["sc11_bootstrap_accuracy", "sc12_gap_interval", "sc21_design_effect"])
 def test_no_draw_is_a_row(spark, data, duck, name, monkeypatch):
     def rows(*_):
         raise AssertionError("draws as rows")
