@@ -162,7 +162,7 @@ SELECT field_name, row_id, ec,
 FROM n
 """
 
-# lengths without what was put after a text, so that a mark put after a cut doesn't hide the limit; few lengths are left, whatever the rows
+# lengths without what was put after a text, so that a mark put after a cut doesn't hide the limit; few lengths are left, whatever the rows, so that one row has those of a field and backend
 _LIMITS = f"""
 WITH u AS (SELECT field_name, backend, t_hash, t_chars, t_bytes, t_tokens FROM $values WHERE NOT marked AND (open_structure OR NOT is_json)),
 l AS (SELECT field_name, backend, unit, size, approx_count_distinct(t_hash) AS n
@@ -171,10 +171,10 @@ around AS (SELECT *, greatest(
     coalesce(sum(n) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN 24 PRECEDING AND 4 PRECEDING), 0),
     coalesce(sum(n) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN 4 FOLLOWING AND 24 FOLLOWING), 0)) / 21 AS usual FROM l),
 piles AS (SELECT *, n >= {AT_LIMIT} AND n > {PILE} * usual AS pile FROM around)
-SELECT field_name, backend, unit, size FROM (
+SELECT field_name, backend, collect_list(size) FILTER (WHERE unit = 'chars') AS chars, collect_list(size) FILTER (WHERE unit = 'bytes') AS bytes, collect_list(size) FILTER (WHERE unit = 'tokens') AS tokens FROM (
   SELECT *, bool_or(pile) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING) AS below_3,
     bool_or(pile) OVER (PARTITION BY field_name, backend, unit ORDER BY size RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING) AS below_1 FROM piles)
-WHERE CASE unit WHEN 'bytes' THEN below_3 WHEN 'chars' THEN below_1 ELSE pile END AND n > {NEAR} * usual
+WHERE CASE unit WHEN 'bytes' THEN below_3 WHEN 'chars' THEN below_1 ELSE pile END AND n > {NEAR} * usual GROUP BY 1, 2
 """
 
 
@@ -206,14 +206,16 @@ SELECT row_id, at_end, CASE
 FROM k
 """
 
+# what $sources is without claims; as it has no rows, its join falls out of the plan
+_NO_SOURCES = "SELECT CAST(NULL AS bigint) AS row_id, CAST(NULL AS boolean) AS at_end, CAST(NULL AS string) AS source WHERE false"
+
 _EVIDENCE = f"""
 WITH j AS (SELECT v.*, e.ec, e.not_terminal, e.unknown_word AND in_letters AND (NOT is_cite OR body RLIKE {_lit(_PLAIN_WORD)}) AS mid_word,
-    c.size IS NOT NULL OR b.size IS NOT NULL OR k.size IS NOT NULL AS full, quoted, source, at_end
+    coalesce(array_contains(chars, CAST(t_chars AS bigint)), false) OR coalesce(array_contains(bytes, CAST(t_bytes AS bigint)), false)
+      OR coalesce(array_contains(tokens, t_tokens), false) AS full, quoted, source, at_end
   FROM $values v LEFT JOIN $ends e ON v.field_name = e.field_name AND v.row_id = e.row_id
   LEFT JOIN $quotes q ON v.field_name = 'raw_generation' AND v.row_id = q.row_id LEFT JOIN $sources s ON v.field_name = 'claim_text' AND v.row_id = s.row_id
-  LEFT JOIN (SELECT * FROM $limits WHERE unit = 'chars') c ON v.field_name = c.field_name AND v.backend <=> c.backend AND t_chars = c.size
-  LEFT JOIN (SELECT * FROM $limits WHERE unit = 'bytes') b ON v.field_name = b.field_name AND v.backend <=> b.backend AND t_bytes = b.size
-  LEFT JOIN (SELECT * FROM $limits WHERE unit = 'tokens') k ON v.field_name = k.field_name AND v.backend <=> k.backend AND t_tokens = k.size)
+  LEFT JOIN $limits l ON v.field_name = l.field_name AND v.backend <=> l.backend)
 SELECT field_name, row_id, record_id, backend, at_end, CASE
   WHEN broken THEN 'broken_character' WHEN n_chars < {LEAST_CHARS} THEN NULL WHEN open_structure THEN 'open_structure'
   WHEN quoted = 'more' THEN 'quote' WHEN quoted = 'equal' THEN NULL
@@ -234,18 +236,19 @@ def judged(spark: SparkSession, d: str, claim_texts: bool = True) -> DataFrame:
     like that. Without ``claim_texts`` only replies are judged; the counts are
     over all claim texts either way.
     """
-    records = once(table(spark, d, "query_records").select("record_id", "backend", "completion_tokens", "raw_generation"), "record_id")
+    records = spool(once(table(spark, d, "query_records").select("record_id", "backend", "completion_tokens", "raw_generation"), "record_id"), "records")
     claims = once(table(spark, d, "claims").select("claim_key", "record_id", "text", "source_start", "source_end"), "claim_key")
     values = spool(query(spark, _VALUES, records=records, claims=claims if claim_texts else claims.where("false")), "values")
     words = spool(query(spark, _WORDS, records=records), "words")
     counts = spool(query(spark, _COUNTS, words=words, claims=claims), "counts")
+    sources = query(spark, _SOURCES, values=values, claims=claims, records=records) if claim_texts else query(spark, _NO_SOURCES)
     judged_so = query(
         spark,
         _EVIDENCE,
         values=values,
-        ends=query(spark, _ENDS, values=values, words=words, counts=counts),
+        ends=spool(query(spark, _ENDS, values=values, words=words, counts=counts), "ends"),
         quotes=query(spark, _QUOTES, values=values, cites=table(spark, d, "claims").select("record_id", "citations")),
-        sources=query(spark, _SOURCES, values=values, claims=claims, records=records),
+        sources=sources,
         limits=spool(query(spark, _LIMITS, values=values), "limits"),
     )
     if claim_texts:
